@@ -93,11 +93,11 @@ BRANCHES = r"(?iu)(?<![\p{L}\p{N}_.])(если|иначеесли|для|пок
 def code_metrics(code: DataFrame, key: str, text: str) -> DataFrame:
     """Per file: lines total, code, comment, blank; methods; cyclomatic complexity (1 + branch words outside comments)."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\n|\r")
-    trimmed = F.transform(lines, F.trim)
+    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s+", ""))
     comment = F.size(F.filter(trimmed, lambda x: x.startswith("//")))
     blank = F.size(F.filter(trimmed, lambda x: F.regexp_replace(x, r"\s", "") == ""))
     bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r'//[^\r\n]*|"[^"\r\n]*"', "")
-    methods = F.regexp_count(bare, F.lit(r"(?imu)^\s*(процедура|функция|procedure|function)\s+\w"))
+    methods = F.regexp_count(bare, F.lit(r"(?imU)^\s*(процедура|функция|procedure|function)\s+\w"))
     return code.select(
         key,
         F.size(lines).cast("bigint").alias("total"),
@@ -120,7 +120,7 @@ def health(metrics: DataFrame) -> DataFrame:
 def duplicate_blocks(code: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
     """Blocks of ``size`` consecutive code lines (without blank and comment lines) that occur more than once in the table:
     block hash, occurrences, files.  Blocks are hashed where they are read; only hashes are shuffled, partly summed."""
-    kept = F.filter(F.transform(F.split(F.col(text), r"\r\n|\n|\r"), F.trim), lambda x: (x != "") & ~x.startswith("//"))
+    kept = F.filter(F.transform(F.split(F.col(text), r"\r\n|\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: (x != "") & ~x.startswith("//"))
     blocks = F.transform(F.sequence(F.lit(1), F.size("k") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("k", i, size), "\n")))
     hashed = code.where(F.col(text).isNotNull()).select(key, kept.alias("k")).where(F.size("k") >= size).select(key, F.explode(blocks).alias("block"))
     per_file = hashed.groupBy("block", key).agg(F.count(F.lit(1)).alias("n"))

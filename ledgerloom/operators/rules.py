@@ -41,7 +41,7 @@ LINE_RULES = [
     Rule("SEC013", "MEDIUM", "XML built by concatenation", r'"<[A-Za-z][^"]*"\s*\+'),
     Rule("SEC014", "LOW", "address in code", r'"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"', r'"(127\.0\.0\.1|0\.0\.0\.0)"'),
     Rule("SEC015", "MEDIUM", "weak hash", r"ХешФункция\.(MD5|CRC32|SHA1)"),
-    Rule("STD456-NBSP", "LOW", "non-breaking space", " "),
+    Rule("STD456-NBSP", "LOW", "non-breaking space", r"\u00a0"),
     Rule("STD456-DASH", "LOW", "long dash in code", "[–—]"),
     Rule("STD456-YO", "LOW", "letter yo in code", "[ёЁ]", None, True),
     Rule("STD456-COMMENTED", "LOW", "commented-out code", r"^\s*//\s*(Если|Иначе|ИначеЕсли|КонецЕсли|Для|Пока|Цикл|КонецЦикла|Процедура|Функция|Возврат|Попытка|Исключение)"),
@@ -73,7 +73,7 @@ LINE_RULES = [
     Rule("ARC-BOOLEAN", "LOW", "comparison with a boolean", r"=\s*(Истина|Ложь|True|False)", None, True),
     Rule("ARC-YODA", "LOW", "constant on the left", r'Если\s+["\d][^=]*=\s*[А-Яа-я]'),
     Rule("ARC-MAGIC", "LOW", "magic number", r"[=<>(+*\-/,]\s*([2-9]\d{2,}|[1-9]\d{3,})([^\d.]|$)", None, True),
-    Rule("BSL-SELF", "MEDIUM", "assignment to itself", r"^\s*([A-Za-zА-Яа-я]+)\s*=\s*([A-Za-zА-Яа-я]+)\s*;\s*$", r"^\s*([A-Za-zА-Яа-я]+)\s*=\s*(?!\1\s*;)"),
+    Rule("BSL-SELF", "MEDIUM", "assignment to itself", r"^\s*([A-Za-zА-Яа-я]+)\s*=\s*([A-Za-zА-Яа-я]+)\s*;\s*$", r"^\s*([A-Za-zА-Яа-я]+)\s*=\s*+(?!\1\s*;)"),
     Rule("BSL-PARAMS", "LOW", "more than seven parameters", r"^\s*(Процедура|Функция)\s+\S+\s*\(([^,)]*,){7,}"),
     Rule("BSL-NAME", "LOW", "name over 50 characters", r"^\s*(Процедура|Функция)\s+[A-Za-zА-Яа-я_0-9]{51,}"),
     Rule("BSL-MODAL", "MEDIUM", "modal call", r"(Вопрос|Предупреждение|ОткрытьФормуМодально|ВвестиЗначение)\s*\("),
@@ -123,13 +123,13 @@ def source_lines(code: DataFrame, key: str, text: str) -> DataFrame:
 def check_lines(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """lines and the rules they break: ..., rule_id, severity, message."""
     blanked = F.regexp_replace(F.regexp_replace(F.col("text"), r'"[^"]*"', '""'), r"//.*$", "")
-    return lines.select(*[c for c in lines.columns if c != "text"], F.inline(_violations(rules or LINE_RULES, F.col("text"), blanked, "")))
+    return lines.select(*[c for c in lines.columns if c != "text"], F.inline(_violations(rules or LINE_RULES, F.col("text"), blanked, "(?U)")))
 
 
 def check_queries(queries: DataFrame, key: str, text: str, rules: list[Rule] | None = None) -> DataFrame:
     """key and the rules its query text breaks (case does not matter)."""
     flat = F.concat(F.lit(" "), F.regexp_replace(F.col(text), r"\s+", " "), F.lit(" "))
-    return queries.where(F.col(text).isNotNull()).select(key, F.inline(_violations(rules or QUERY_RULES, flat, flat, "(?iu)")))
+    return queries.where(F.col(text).isNotNull()).select(key, F.inline(_violations(rules or QUERY_RULES, flat, flat, "(?iU)")))
 
 
 # fixed values: look-back rules (identifier, severity, message, pattern, lines before, what must stand in them)

@@ -138,15 +138,15 @@ def actual_action_period(df: DataFrame, keys: Sequence[str], begin: str, end: st
     Borders of all intervals of a key cut time into elementary pieces; a piece belongs to the covering interval of the
     highest priority, and neighbouring pieces of one interval are joined again.  Intervals are half open.
     """
-    ided = df.select(*keys, F.col(begin).alias("b"), F.col(end).alias("e"), F.col(priority).alias("p"), F.xxhash64(*keys, begin, end, priority).alias("id")).where("b < e")
-    points = ided.select(*keys, F.explode(F.array("b", "e")).alias("x")).distinct()
+    ided = df.select(*keys, F.col(begin).alias("__b"), F.col(end).alias("__e"), F.col(priority).alias("__p"), F.xxhash64(*keys, begin, end, priority).alias("__id")).where("__b < __e")
+    points = ided.select(*keys, F.explode(F.array("__b", "__e")).alias("x")).distinct()
     w = Window.partitionBy(*keys).orderBy("x")
     pieces = points.withColumn("y", F.lead("x").over(w)).where("y IS NOT NULL")
-    covered = pieces.join(ided, list(keys)).where("b <= x AND y <= e")
-    winner = covered.groupBy(*keys, "x", "y").agg(F.max_by("id", F.struct("p", "id")).alias("id"))
-    order = Window.partitionBy(*keys, "id").orderBy("x")
+    covered = pieces.join(ided, list(keys)).where("__b <= x AND y <= __e")
+    winner = covered.groupBy(*keys, "x", "y").agg(F.max_by("__id", F.struct("__p", "__id")).alias("__id"))
+    order = Window.partitionBy(*keys, "__id").orderBy("x")
     run = winner.withColumn("new", F.when(F.lag("y").over(order) == F.col("x"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    return run.groupBy(*keys, "id", "run").agg(F.min("x").alias(begin), F.max("y").alias(end)).join(ided.select("id", F.col("p").alias(priority)).distinct(), "id").select(*keys, priority, begin, end)
+    return run.groupBy(*keys, "__id", "run").agg(F.min("x").alias(begin), F.max("y").alias(end)).join(ided.select("__id", F.col("__p").alias(priority)).distinct(), "__id").select(*keys, priority, begin, end)
 
 
 def schedule_data(df: DataFrame, schedule: DataFrame, keys: Sequence[str], begin: str, end: str, day: str, value: str) -> DataFrame:

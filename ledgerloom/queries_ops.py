@@ -285,7 +285,7 @@ def rule_verdict_top3(spark, d):
     return metrics.verdict(v, "module_path", "sev", "rule_id")
 
 
-@query("""WITH l AS (SELECT module_id, bsl_code, regexp_split_to_array(coalesce(bsl_code,''), '\\r\\n|\\n|\\r') AS ls FROM bsl_modules) SELECT module_id, len(ls) AS total, len(list_filter(ls, lambda x: starts_with(trim(x), '//'))) AS comment, len(list_filter(ls, lambda x: regexp_replace(x, '\\s', '', 'g') = '')) AS blank FROM l""")
+@query("""WITH l AS (SELECT module_id, bsl_code, regexp_split_to_array(coalesce(bsl_code,''), '\\r\\n|\\n|\\r') AS ls FROM bsl_modules) SELECT module_id, len(ls) AS total, len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*//'))) AS comment, len(list_filter(ls, lambda x: regexp_replace(x, '\\s', '', 'g') = '')) AS blank FROM l""")
 def ops_line_metrics(spark, d):
     return metrics.code_metrics(table(spark, d, "bsl_modules"), "module_id", "bsl_code").select("module_id", "total", "comment", "blank")
 

@@ -116,7 +116,7 @@ def reference_edges(objects: DataFrame) -> DataFrame:
     """src, dst, relation, detail: references in the types of attributes; references to itself are dropped."""
     ref = r"(Catalog|Document|Enum|ChartOfCharacteristicTypes|ChartOfAccounts|ChartOfCalculationTypes|ExchangePlan|BusinessProcess|Task)Ref\.(\w+)"
     child = objects.select(F.concat_ws(".", "type", "name").alias("src"), F.explode("children").alias("c")).select("src", F.col("c.name").alias("detail"), F.col("c.section").alias("section"), F.explode("c.types").alias("t"))
-    named = child.select("src", "detail", "section", F.regexp_extract("t", ref, 1).alias("k"), F.regexp_extract("t", "(?U)" + ref, 2).alias("n")).where("k <> ''")
+    named = child.select("src", "detail", "section", F.regexp_extract("t", "(?U)" + ref, 1).alias("k"), F.regexp_extract("t", "(?U)" + ref, 2).alias("n")).where("k <> ''")
     relation = F.when(F.col("section").isNull(), "attribute").otherwise("tabular_section")
     return named.select("src", F.concat_ws(".", "k", "n").alias("dst"), relation.alias("relation"), "detail").where("src <> dst")
 

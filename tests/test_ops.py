@@ -106,7 +106,7 @@ def test_code_metrics(spark):
 
 
 POSITIVE = {
-    "SEC004": 'Пароль = "x1";', "SEC010": 'А = "http://host";', "STD456-NBSP": "А = 1;", "STD456-LENGTH": "а" * 121, "STD456-YO": "Счётчик = 1;", "STD547": "Перейти ~Метка;", "STD643": "Д = ТекущаяДата();",
+    "SEC004": 'Пароль = "x1";', "SEC010": 'А = "http://host";', "STD456-NBSP": "А\u00a0= 1;", "STD456-LENGTH": "а" * 121, "STD456-YO": "Счётчик = 1;", "STD547": "Перейти ~Метка;", "STD643": "Д = ТекущаяДата();",
     "STD686": "Отказ = Ложь;", "BSL-SELF": "А = А;", "ARC-TERNARY": "Б = ?(А, 1, 2);", "SEC006": 'О = Новый COMОбъект("X");', "STD456-MULTI": "А = 1; Б = 2;", "BSL-PARAMS": "Процедура А(б, в, г, д, е, ж, з, и)",
 }
 NEGATIVE = {"SEC002": 'Выполнить("x")', "SEC010": 'А = "http://localhost";', "STD456-YO": 'А = "ё";', "STD456-TODO": "// TODO №12 сделать", "BSL-SELF": "А = Б;", "STD456-SPACE": "// хорошо", "STD456-MULTI": 'А = "; ;";'}
