@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import nested, packed, references, snapshots
-from ledgerloom.session import table
+from ledgerloom.session import spread, table
 
 METHOD_TEXTS = "title name_ru name_en category version_since version_deprecated syntax returns description availability example".split()
 
@@ -27,9 +27,9 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    m = packed.packed_values(table(spark, d, "methods"), "availability", "id").select(F.lit("methods").alias("src"), F.col("id").alias("rec_id"), "pos", "item")
+    m = packed.packed_values(spread(table(spark, d, "methods").select("id", "availability")), "availability", "id").select(F.lit("methods").alias("src"), F.col("id").alias("rec_id"), "pos", "item")
     # methods.id is unique; violations are delivered again with the same id
-    v = packed.packed_values(table(spark, d, "context_violations"), "available_in", "violation_id")
+    v = packed.packed_values(spread(table(spark, d, "context_violations").select("violation_id", "available_in")), "available_in", "violation_id")
     v = v.select(F.lit("context_violations").alias("src"), F.col("violation_id").alias("rec_id"), "pos", "item").distinct()
     return m.unionByName(v)
 

@@ -12,7 +12,7 @@ from ledgerloom.functions import text as tx
 from ledgerloom.operators import diff, graph, hierarchy, metrics, reports, rules, search
 from ledgerloom.sources.metadata import strip_html
 from ledgerloom.sources.sinks import sarif_results
-from ledgerloom.session import table
+from ledgerloom.session import spread, table
 from ledgerloom.streaming import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,7 @@ _BM25 = _TOK + f""", l AS (SELECT doc_id, len(w) AS len FROM t), n AS (SELECT co
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    return spread(table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL"))
 
 
 @query(_BM25 + " SELECT doc_id, round(score, 6) AS score FROM s")
@@ -245,13 +245,13 @@ def diff_baseline(spark, d):
 @query("WITH l AS (SELECT module_id, unnest(regexp_split_to_array(bsl_code, '\\r\\n|\\n|\\r')) AS t FROM bsl_modules WHERE bsl_code IS NOT NULL) SELECT r AS rule_id, count(*) AS n FROM (SELECT CASE WHEN length(t) > 120 THEN 'STD456-LENGTH' END AS r FROM l UNION ALL SELECT CASE WHEN regexp_matches(t, '[–—]') THEN 'STD456-DASH' END FROM l UNION ALL SELECT CASE WHEN regexp_matches(t, 'ЗаписьЖурналаРегистрации\\s*\\(') THEN 'STD-JOURNAL' END FROM l UNION ALL SELECT CASE WHEN regexp_matches(t, 'Сообщить\\s*\\(') THEN 'ARC-MESSAGE' END FROM l UNION ALL SELECT CASE WHEN regexp_matches(t, '([Пп]ароль|[Pp]assword)\\s*=\\s*\"[^\"]+\"') THEN 'SEC004' END FROM l) WHERE r IS NOT NULL GROUP BY 1")
 def rule_lines_core(spark, d):
     chosen = [r for r in rules.LINE_RULES if r.id in ("STD456-LENGTH", "STD456-DASH", "STD-JOURNAL", "ARC-MESSAGE", "SEC004")]
-    lines = rules.source_lines(table(spark, d, "bsl_modules").select("module_id", "bsl_code"), "module_id", "bsl_code")
+    lines = rules.source_lines(spread(table(spark, d, "bsl_modules").select("module_id", "bsl_code")), "module_id", "bsl_code")
     return rules.check_lines(lines, chosen).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def rule_lines_all(spark, d):
-    return rules.check_lines(rules.source_lines(table(spark, d, "bsl_modules").select("module_id", "bsl_code"), "module_id", "bsl_code"))
+    return rules.check_lines(rules.source_lines(spread(table(spark, d, "bsl_modules").select("module_id", "bsl_code")), "module_id", "bsl_code"))
 
 
 @query()

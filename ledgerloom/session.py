@@ -48,3 +48,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Rows over all cores where a table has fewer parts than the cluster has cores (heavy expressions outweigh the
+    exchange); larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * per_core)
