@@ -194,8 +194,8 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 def training_sentences(docs: DataFrame, text: str, label: str, key: str, max_docs: int = 6000, max_sentences: int = 24_000) -> list[tuple[str, str, float]]:
     """(prose, language, count) of sentences in documents whose label names exactly one language: about ``max_docs``
-    documents, chosen by a hash of the key, and ``max_sentences`` different (sentence, label) pairs, chosen by a hash of
-    the sentence.  The sample keeps the corpus's own mixture, in which wrong labels are outvoted."""
+    documents, chosen by a hash of the key, and ``max_sentences`` different (sentence, label) pairs, the most
+    frequent ones first and then by a hash of the sentence.  The sample keeps the corpus's own mixture, in which wrong labels are outvoted."""
     named = named_languages(F.col(label))
     one = docs.select(key, text, F.when(F.size(named) == 1, named[0]).alias("k")).where("k IS NOT NULL")
     total = one.count()
@@ -207,7 +207,7 @@ def training_sentences(docs: DataFrame, text: str, label: str, key: str, max_doc
             yield pd.DataFrame(rows, columns=["k", "s"]).groupby(["k", "s"], as_index=False).size().rename(columns={"size": "n"})
 
     counted = chosen.select(text, "k").mapInPandas(read, "k string, s string, n long").groupBy("s", "k").agg(F.sum("n").alias("n"))
-    return [(r.s, r.k, float(r.n)) for r in counted.orderBy(F.xxhash64("s")).limit(max_sentences).collect()]
+    return [(r.s, r.k, float(r.n)) for r in counted.orderBy(F.col("n").desc(), F.xxhash64("s"), "k").limit(max_sentences).collect()]
 
 
 def passages(docs: DataFrame, key: str, text: str, model: LanguageModel, *keep: str) -> DataFrame:
