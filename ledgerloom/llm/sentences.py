@@ -18,7 +18,12 @@ TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<\|[^|<>]{0,40}\|>")
 END = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s|$|<|&)")
 OPENS = re.compile(r"^[\"'«“„(¿¡\[]*[^\W\d_]")
 WORDS = re.compile(r"[^\W\d_]+(?:['’ʼ`-][^\W\d_]+)*")
-CODE = re.compile(r"[=;{}\[\]|]|\w\(|\)\.|^\s*[&#<]|</|::|[^\W\d]\.\w+\.\w")
+# marks that prose doesn't hold: assignment, braces, row marks, paths, chained calls, a semicolon at the end
+CODE = re.compile(r"[={}|]|\)\.\w|^\s*[&#<]|</|::|[^\W\d]\.\w+\.\w|;\W*$")
+CALL = re.compile(r"\w+\((?!\w{1,3}\))[^()]*\)?")  # not the ending in "file(s)"
+# marks that prose may hold too: code only where two kinds of them meet
+KEYWORD = re.compile(r"\b(?:Конец(?:Функции|Процедуры|Если|Цикла|Попытки)|ИначеЕсли|ВызватьИсключение|End(?:Function|Procedure|If|Do|Try)|ElsIf)\b", re.IGNORECASE)
+SHARED = (re.compile(";"), CALL, re.compile(r"\w\["), KEYWORD)
 HEADING = re.compile(r"^\s*#{1,6}\s")
 LINE = re.compile(r"[^\r\n  \x0b\x0c\x85]+")
 
@@ -35,9 +40,16 @@ def clean(text: str) -> str:
     return " ".join(text.split())
 
 
+def is_code(s: str) -> bool:
+    """A sure mark of code, two kinds of marks that prose shares, or fewer than three words beside the calls."""
+    if CODE.search(s) or sum(bool(p.search(s)) for p in SHARED) > 1:
+        return True
+    return "(" in s and len(WORDS.findall(CALL.sub(" ", s))) < 3
+
+
 def is_sentence(s: str) -> bool:
     """A whole sentence: opens with a letter, ends with a stop, holds at least three words and no code."""
-    return bool(OPENS.match(s)) and bool(re.search(r"[.!?…][\"'»”)\]]*$", s)) and len(WORDS.findall(s)) >= 3 and not CODE.search(s)
+    return bool(OPENS.match(s)) and bool(re.search(r"[.!?…][\"'»”)\]]*$", s)) and len(WORDS.findall(s)) >= 3 and not is_code(s)
 
 
 def _in_line(raw: str) -> list[tuple[int, int, str]]:

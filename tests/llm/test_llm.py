@@ -200,6 +200,44 @@ def test_p9_sentences():
     assert [s for _, _, s in sentences("&lt;p&gt;Склад&nbsp;проверяет остатки.&lt;/p&gt;")] == ["Склад проверяет остатки."]
 
 
+@pytest.mark.parametrize(
+    "prose",
+    [
+        "Форма списка выгружает остатки; при этом кладовщик сверяет таблицу товаров.",
+        "The storekeeper updates the totals; meanwhile the list form checks the stock.",
+        "Склад проверяет остатки каждый вечер (во втором разделе обмена).",
+        "The clerk checks the stock again [see the second part].",
+        "Выберите нужный файл(ы) в форме списка.",
+        "Метод НайтиЦены(Отбор, Дата) возвращает таблицу цен.",
+    ],
+)
+def test_p9_prose_with_code_marks(prose):
+    assert [s for _, _, s in sentences(prose)] == [prose]
+
+
+@pytest.mark.parametrize(
+    "code",
+    [
+        "Возврат; Если Счетчик Тогда Прервать; КонецЕсли; КонецФункции склад проверяет остатки.",
+        "Попытка Соединение.Получить(Запрос); Исключение Сообщить(Номер); склад проверяет остатки.",
+        "Запрос.Выполнить().Выбрать() и ещё три слова.",
+        "Сообщить(Номер, Дата, Ключ).",
+        "Номер = Дата и ещё слова.",
+        "Возврат; Прервать; Продолжить; ...;",
+    ],
+)
+def test_p9_code_is_no_sentence(code):
+    assert list(sentences(code)) == []
+
+
+def test_p9_found_with_semicolons(spark, data, tmp_path):
+    """A document whose only sentence in a language holds a semicolon is a case."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    text = "Склад проверяет остатки каждый вечер.\nThe clerk checks the stock; meanwhile the list form shows the user rights."
+    docs.unionByName(spark.createDataFrame([(-1, text, "ru")], docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.lang for r in queries.p9_found(spark, str(tmp_path)).where("doc_id = -1").collect()] == ["en"]
+
+
 def test_p9_labels(spark):
     labels = ["ru-RU", " Russian", "en_GB", "EN", "de+ru", "uk; bg/ru", "ger", "español", "русский", "zh", "", None, "ru-UA", "n/a"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, l string").select("i", langid.named_languages("l").alias("n"))
