@@ -380,7 +380,7 @@ def report_chart_filtered(spark, d):
     return reports.chart(table(spark, d, "part").where(cond), "p_brand", "p_type", "Среднее", "p_size").withColumnsRenamed({"p_brand": "brand", "p_type": "kind"})
 
 
-# -- streams (rows only)
+# -- streams (rows only); windows and sessions in complete mode: at the end of the input those still open come out too
 def _stream(spark, d):
     return pipelines.event_stream(spark, d, spark.read.parquet(f"{d}/events.parquet").schema)
 
@@ -393,17 +393,17 @@ def _drain(df, name, mode="append"):
 
 @query()
 def stream_tumbling(spark, d):
-    return _drain(pipelines.windowed(_stream(spark, d), "1 hour"), "stream_tumbling")
+    return _drain(pipelines.windowed(_stream(spark, d), "1 hour"), "stream_tumbling", "complete")
 
 
 @query()
 def stream_sliding(spark, d):
-    return _drain(pipelines.windowed(_stream(spark, d), "1 hour", "30 minutes"), "stream_sliding")
+    return _drain(pipelines.windowed(_stream(spark, d), "1 hour", "30 minutes"), "stream_sliding", "complete")
 
 
 @query()
 def stream_session(spark, d):
-    return _drain(pipelines.sessions(_stream(spark, d), "30 minutes"), "stream_session")
+    return _drain(pipelines.sessions(_stream(spark, d), "30 minutes"), "stream_session", "complete")
 
 
 @query()

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import queries_ops
 from ledgerloom.functions import text as tx
 from ledgerloom.operators import diff, graph, metrics, reports, rules, search
 from ledgerloom.sources import metadata, sinks
@@ -228,3 +229,17 @@ def test_streams(spark, data, tmp_path):
     q = pipelines.new_against_baseline(stream, batch.where("event_id > 100"), "event_id", str(tmp_path / "new"), str(tmp_path / "c"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "new")).count() == batch.where("event_id <= 100").count()
+
+
+def test_registered_windows_are_whole(spark, data):
+    """The registered streams give every window and session of the batch, those at the end of the input too."""
+    events = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    for name, w in (("stream_tumbling", F.window("ts", "1 hour")), ("stream_sliding", F.window("ts", "1 hour", "30 minutes"))):
+        want = events.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+        want = want.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
+        got = queries_ops.QUERIES[name](spark, data)
+        assert got.count() == want.count() > 0
+        assert got.join(want.withColumnRenamed("total", "right"), ["start", "end", "event_type", "n"]).where("abs(total - right) < 1e-3").count() == want.count()
+    want = events.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    want = want.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    assert sorted(map(tuple, queries_ops.QUERIES["stream_session"](spark, data).collect())) == sorted(map(tuple, want.collect()))
