@@ -121,6 +121,13 @@ _BT = "WITH c AS (SELECT l_partkey AS part, l_suppkey AS supp, CASE WHEN l_shipd
 q("vt_balance_and_turnovers", "SELECT T.Part AS part, T.Supplier AS supp, T.Period AS quarter, ROUND(T.QuantityOpening, 2) AS opening, ROUND(T.QuantityTurnover, 2) AS net, ROUND(T.QuantityClosing, 2) AS closing FROM AccumulationRegister.Stock.BalanceAndTurnovers(&B, &E, QUARTER, , Part < 200) AS T", _BT, B=D(1995, 1, 1), E=D(1996, 12, 31))
 q("vt_drcr_turnovers", "SELECT T.AccountDr AS dr, T.AccountCr AS cr, T.ReturnFlag AS flag, ROUND(T.AmountTurnover, 2) AS amount FROM AccountingRegister.Journal.DrCrTurnovers(&B, &E, , Part < 300) AS T",
   "SELECT l_suppkey AS dr, l_partkey AS cr, l_returnflag AS flag, round(sum(l_extendedprice),2) AS amount FROM lineitem WHERE l_partkey < 300 AND l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1,2,3", B=D(1995, 1, 1), E=D(1996, 12, 31))
+# the same register views over the whole register
+q("vt_balance_whole", "ВЫБРАТЬ О.Товар КАК part, О.Поставщик КАК supp, ОКР(О.КоличествоОстаток, 2) КАК qty ИЗ РегистрНакопления.Запасы.Остатки(&На) КАК О", SQL["vt_balance"].replace("l_partkey < 500 AND ", ""), На=D(1997, 1, 1))
+q("vt_turnovers_monthly_whole", "SELECT T.Part AS part, T.Period AS month, ROUND(T.QuantityReceipt, 2) AS got, ROUND(T.QuantityExpense, 2) AS gone, ROUND(T.QuantityTurnover, 2) AS net FROM AccumulationRegister.Stock.Turnovers(&B, &E, MONTH) AS T",
+  SQL["vt_turnovers_monthly"].replace("l_partkey < 300 AND ", ""), B=D(1995, 1, 1), E=D(1995, 12, 31))
+q("vt_balance_and_turnovers_whole", "SELECT T.Part AS part, T.Supplier AS supp, T.Period AS quarter, ROUND(T.QuantityOpening, 2) AS opening, ROUND(T.QuantityTurnover, 2) AS net, ROUND(T.QuantityClosing, 2) AS closing FROM AccumulationRegister.Stock.BalanceAndTurnovers(&B, &E, QUARTER) AS T",
+  _BT.replace("l_partkey < 200 AND ", ""), B=D(1995, 1, 1), E=D(1996, 12, 31))
+q("vt_drcr_turnovers_whole", "SELECT T.AccountDr AS dr, T.AccountCr AS cr, T.ReturnFlag AS flag, ROUND(T.AmountTurnover, 2) AS amount FROM AccountingRegister.Journal.DrCrTurnovers(&B, &E) AS T", SQL["vt_drcr_turnovers"].replace("l_partkey < 300 AND ", ""), B=D(1995, 1, 1), E=D(1996, 12, 31))
 q("vt_boundaries", "SELECT B.o_custkey AS cust, B.Period AS last FROM Sequence.Orders.Boundaries() AS B", "SELECT o_custkey AS cust, max(o_orderdate) AS last FROM orders GROUP BY 1")
 q("vt_ext_dimensions", "SELECT X.kind AS kind, COUNT(DISTINCT X.value) AS n FROM AccountingRegister.Journal.ExtDimensions() AS X GROUP BY X.kind", "SELECT 'l_suppkey' AS kind, count(DISTINCT l_suppkey) AS n FROM lineitem UNION ALL SELECT 'l_partkey', count(DISTINCT l_partkey) FROM lineitem")
 q("vt_asof_lookup", "SELECT E.event_id AS id, S.Value AS known FROM InformationRegister.UserEvents AS E LEFT JOIN InformationRegister.UserEvents.SliceLast(&At, EventType = \"signup\") AS S ON E.User = S.User WHERE E.EventType = \"error\"",

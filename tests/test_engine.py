@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ledgerloom import queries_engine
 from ledgerloom.functions import scalar
 from ledgerloom.operators import hierarchy
 from ledgerloom.operators import virtual_tables as vt
@@ -199,3 +200,15 @@ def test_periods(spark):
     row = one.select(*[scalar.begin_of_period(F.col("d"), u).alias(f"b{u}") for u in ("TENDAYS", "HALFYEAR", "WEEK", "QUARTER")], *[scalar.end_of_period(F.col("d"), u).alias(f"e{u}") for u in ("TENDAYS", "MONTH")]).first()
     assert (row.bTENDAYS, row.bHALFYEAR, row.bWEEK, row.bQUARTER) == (T(2024, 2, 21), T(2024, 1, 1), T(2024, 2, 26), T(2024, 1, 1))
     assert row.eTENDAYS == row.eMONTH == T(2024, 2, 29, 23, 59, 59)
+
+
+@pytest.mark.parametrize("name", ["vt_balance", "vt_turnovers_monthly", "vt_balance_and_turnovers", "vt_drcr_turnovers"])
+def test_register_views_over_the_whole_register(spark, data, name):
+    """The views without a key condition give what their SQL gives."""
+    duckdb = pytest.importorskip("duckdb")
+    data = data.replace("sf0.001", "sf0.01")  # the smallest set has no part beyond the conditions
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{data}/lineitem.parquet'")
+    got = sorted(map(repr, (tuple(r) for r in queries_engine.QUERIES[f"{name}_whole"](spark, data).collect())))
+    want = sorted(map(repr, con.execute(queries_engine.SQL[f"{name}_whole"]).fetchall()))
+    assert got == want and len(got) > queries_engine.QUERIES[name](spark, data).count()
