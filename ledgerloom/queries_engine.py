@@ -136,6 +136,13 @@ q("vt_asof_lookup", "SELECT E.event_id AS id, S.Value AS known FROM InformationR
 q("hier_in_hierarchy", "SELECT G.Ref AS ref FROM Catalog.Geography AS G WHERE G.Ref IN HIERARCHY (&Root)",
   "SELECT 'R1' AS ref UNION ALL SELECT 'N'||n_nationkey FROM nation WHERE n_regionkey=1 UNION ALL SELECT 'C'||c_custkey FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey=1", Root="R1")
 q("hier_order", "SELECT G.Ref AS ref, G.Description AS name FROM Catalog.Geography AS G WHERE G.Ref >= \"N\" ORDER BY ref HIERARCHY", "SELECT 'N'||n_nationkey AS ref, n_name AS name FROM nation UNION ALL SELECT 'R'||r_regionkey, r_name FROM region")
+# over the whole hierarchy, customers included; of the null-safe join, one side has a row per parent, so that its result is bounded
+_GEO = "WITH g AS (SELECT 'R'||r_regionkey AS ref, NULL::VARCHAR AS parent, r_name AS name FROM region UNION ALL SELECT 'N'||n_nationkey, 'R'||n_regionkey, n_name FROM nation UNION ALL SELECT 'C'||c_custkey, 'N'||c_nationkey, c_name FROM customer)"
+q("rel_null_safe_join_whole", "SELECT A.Ref AS ref, B.n AS siblings FROM Catalog.Geography AS A JOIN (SELECT X.Parent AS parent, COUNT(*) AS n FROM Catalog.Geography AS X GROUP BY X.Parent) AS B ON A.Parent = B.parent OR (A.Parent IS NULL AND B.parent IS NULL)",
+  _GEO + ", p AS (SELECT parent, count(*) AS n FROM g GROUP BY 1) SELECT ref, n AS siblings FROM g JOIN p ON g.parent IS NOT DISTINCT FROM p.parent")
+q("hier_order_whole", "SELECT G.Ref AS ref, G.Description AS name FROM Catalog.Geography AS G ORDER BY ref HIERARCHY", _GEO + " SELECT ref, name FROM g")
+q("agg_totals_hierarchy_whole", "SELECT G.Ref AS ref, 1 AS n FROM Catalog.Geography AS G TOTALS SUM(n) BY ref HIERARCHY",
+  _GEO + ", c AS (SELECT ref AS anc FROM g UNION ALL SELECT p.ref FROM g JOIN g p ON g.parent = p.ref UNION ALL SELECT pp.ref FROM g JOIN g p ON g.parent = p.ref JOIN g pp ON p.parent = pp.ref) SELECT ref, 1 AS n, NULL::BIGINT AS totals_level FROM g UNION ALL SELECT anc, count(*)::INTEGER, 1 FROM c GROUP BY 1")
 q("flagship_sales_by_period",
   "ВЫБРАТЬ\n\tНАЧАЛОПЕРИОДА(П.Период, МЕСЯЦ) КАК month,\n\tП.Товар.Марка КАК brand,\n\tОКР(СУММА(П.Количество), 2) КАК qty,\n\tОКР(СУММА(П.Сумма), 2) КАК amount\nИЗ РегистрНакопления.Продажи КАК П\nГДЕ П.Период МЕЖДУ &Начало И &Конец\nСГРУППИРОВАТЬ ПО НАЧАЛОПЕРИОДА(П.Период, МЕСЯЦ), П.Товар.Марка\nУПОРЯДОЧИТЬ ПО amount УБЫВ, month, brand // выручка",
   "SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS month, p_brand AS brand, round(sum(l_quantity),2) AS qty, round(sum(l_extendedprice),2) AS amount FROM lineitem LEFT JOIN part ON l_partkey=p_partkey WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1,2", Начало=D(1995, 1, 1), Конец=D(1996, 12, 31))

@@ -212,3 +212,17 @@ def test_register_views_over_the_whole_register(spark, data, name):
     got = sorted(map(repr, (tuple(r) for r in queries_engine.QUERIES[f"{name}_whole"](spark, data).collect())))
     want = sorted(map(repr, con.execute(queries_engine.SQL[f"{name}_whole"]).fetchall()))
     assert got == want and len(got) > queries_engine.QUERIES[name](spark, data).count()
+
+
+def test_whole_hierarchy(spark, data):
+    """The hierarchy queries reach every node, customers included, and the null-safe join pairs the null parents."""
+    nodes = spark.read.parquet(f"{data}/customer.parquet").select("c_custkey", "c_nationkey").collect()
+    run = lambda name: queries_engine.QUERIES[name](spark, data).collect()
+    order = [r.ref for r in run("hier_order_whole")]
+    assert len(order) == len(set(order)) == 30 + len(nodes)
+    at = {r: i for i, r in enumerate(order)}
+    assert all(at[f"C{r.c_custkey}"] > at[f"N{r.c_nationkey}"] for r in nodes)
+    totals = {r.ref: r.n for r in run("agg_totals_hierarchy_whole") if r.totals_level == 1}
+    assert len(totals) == len(order) and sum(totals[f"R{i}"] for i in range(5)) == len(order)
+    joined = {r.ref: r.siblings for r in run("rel_null_safe_join_whole")}
+    assert joined.keys() == set(order) and {joined[f"R{i}"] for i in range(5)} == {5}
