@@ -79,8 +79,9 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def _passages(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
-    model = langid.fit(langid.training_sentences(docs, "text", "label", "doc_id"))
-    return langid.passages(spread(docs), "doc_id", "text", model, *keep)
+    read = langid.read_sentences(spread(docs), "doc_id", "text", "label")
+    model = langid.fit(langid.training_sentences(read, "label", "doc_id"), langid.corpus_idf(read))
+    return langid.passages(read, "doc_id", model, *keep)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,11 +91,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Every passage with its language and confidence, and the document's main language."""
-    found = _passages(spark, d)
-    main = found.groupBy("doc_id", "lang").agg(F.sum("n_sentences").alias("n"), F.avg("confidence").alias("c"))
-    main = main.groupBy("doc_id").agg(F.max_by("lang", F.struct("n", "c")).alias("doc_lang"), (F.max("n") / F.sum("n")).alias("doc_confidence"))
-    return found.drop("best").join(main, "doc_id")
+    """Every passage with its language and confidence, and the document's main language with the mean calibrated
+    confidence of its sentences; a document without a whole sentence has one row without a passage and confidence 0."""
+    found = _passages(spark, d).drop("best")
+    per = found.groupBy("doc_id", "lang").agg(F.sum("n_sentences").alias("n"), F.sum(F.col("confidence") * F.col("n_sentences")).alias("c"))
+    main = per.groupBy("doc_id").agg(F.max_by(F.struct("lang", (F.col("c") / F.col("n")).alias("c")), F.struct("n", "c", "lang")).alias("m"))
+    main = main.select("doc_id", F.col("m.lang").alias("doc_lang"), F.col("m.c").alias("doc_confidence"))
+    every = table(spark, d, "documents").select("doc_id").join(main, "doc_id", "left").withColumn("doc_confidence", F.coalesce("doc_confidence", F.lit(0.0)))
+    return every.join(found, "doc_id", "left").select("doc_id", "start", "stop", "lang", "confidence", "n_sentences", "doc_lang", "doc_confidence")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p5_found, p5_redacted, p7_ids, p8_mix, p8_shares, p9_found, p9_labels)}

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 # marks that may stand before prose: comment, quote, list item, question/answer
 PREFIX = re.compile(r"^(?:\s|﻿|//+|\|(?=\s*//)|>+|[-*•–—+](?=\s)|\d{1,3}[.)](?=\s)|[QAВО]:(?=\s)|/\*|\*/|<!--|#(?=!))+")
-TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<\|[^|<>]{0,40}\|>")
+TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<\|[^|<>]*\|>")
 END = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s|$|<|&)")
 OPENS = re.compile(r"^[\"'«“„(¿¡\[]*[^\W\d_]")
 WORDS = re.compile(r"[^\W\d_]+(?:['’ʼ`-][^\W\d_]+)*")
@@ -25,6 +26,8 @@ CALL = re.compile(r"\w+\((?!\w{1,3}\))[^()]*\)?")  # not the ending in "file(s)"
 KEYWORD = re.compile(r"\b(?:Конец(?:Функции|Процедуры|Если|Цикла|Попытки)|ИначеЕсли|ВызватьИсключение|End(?:Function|Procedure|If|Do|Try)|ElsIf)\b", re.IGNORECASE)
 SHARED = (re.compile(";"), CALL, re.compile(r"\w\["), KEYWORD)
 HEADING = re.compile(r"^\s*#{1,6}\s")
+# invisible format characters (category Cf)
+FORMAT = re.compile("[" + "".join(re.escape(chr(i)) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Cf") + "]+")
 LINE = re.compile(r"[^\r\n  \x0b\x0c\x85]+")
 
 
@@ -35,8 +38,9 @@ def clean(text: str) -> str:
     if "<" in text:
         text = TAG.sub(" ", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        text = FORMAT.sub("", text)
     return " ".join(text.split())
 
 

@@ -272,4 +272,39 @@ def test_p9_queries(spark, data):
     found = queries.p9_found(spark, data)
     assert found.count() == found.distinct().count() > 0 and found.columns == ["doc_id", "lang"]
     parts = queries.p9_labels(spark, data)
-    assert parts.where("confidence <= 0 OR confidence > 1 OR start >= stop OR lang IS NULL").count() == 0
+    assert parts.where("confidence <= 0 OR confidence > 1 OR start >= stop OR doc_confidence > 1").count() == 0
+    # every document has a row; one without a whole sentence has no passage and no confidence
+    assert {r.doc_id for r in parts.select("doc_id").collect()} == {r["doc_id"] for r in rows(data, "documents", "doc_id")}
+    assert parts.where("lang IS NULL AND (doc_lang IS NOT NULL OR doc_confidence > 0)").count() == 0 < parts.where("lang IS NULL").count()
+
+
+def test_p9_frequent_pattern_is_not_lost():
+    """A sentence seen often with agreeing labels is learnt, whatever the sample kept out; single wrong labels are not."""
+    ru = [(f" склад {w} проверяет остатки ", "ru", 1.0) for w in "снова обычно затем потом сегодня завтра вечером утром быстро".split()]
+    en = [(f" the clerk {w} checks the stock ", "en", 1.0) for w in "again often then later soon now here there always".split()]
+    odd = [(" pochemu ne otkryvaetsya spisok dokumentov ", "ru", 9.0)]
+    for seed in range(4):
+        model = langid.fit(ru + en + odd + [(" the clerk slowly checks the stock ", "ru", 1.0)], seed=seed)
+        said = [langid.LANGUAGES[i] for i in model.predict([odd[0][0], " the clerk slowly checks the stock "]).argmax(axis=1)]
+        assert said == ["ru", "en"]
+
+
+def test_p9_corpus_statistics(spark, data):
+    """The IDF counts every sentence of every document."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    prose = [p for r in docs.collect() for _, _, s in sentences(r.text) if (p := langid.prose(s)).strip()]
+    row, feature, _ = langid.grams(prose)
+    want = langid.sentence_idf(np.bincount(feature, minlength=1 << langid.BITS), len(prose))
+    assert np.allclose(langid.corpus_idf(langid.read_sentences(docs.repartition(3), "doc_id", "text", "lang")), want)
+
+
+def test_p9_edges(spark):
+    df = spark.createDataFrame([("a", None, None), ("b", "", "ru"), ("c", " \n", "en"), ("d", "Нет точки", "ru"), ("e", "Склад проверяет остатки. " * 3000, "ru"), ("e", "Склад проверяет остатки.", None)], "k string, text string, label string")
+    read = langid.read_sentences(df, "k", "text", "label")
+    model = langid.fit(langid.training_sentences(read, "label", "k"), langid.corpus_idf(read))
+    got = langid.passages(read, "k", model, "label").groupBy("k").sum("n_sentences").collect()
+    assert [(r[0], r[1]) for r in got] == [("e", 3001)]
+    empty = langid.read_sentences(df.limit(0), "k", "text", "label")
+    assert langid.training_sentences(empty, "label", "k") == [] and langid.passages(empty, "k", langid.fit([]), "label").count() == 0
+    with pytest.raises(ValueError):
+        langid.read_sentences(df.withColumnRenamed("label", "prose"), "k", "text", "prose")
