@@ -2,12 +2,15 @@
 
 ``orphans`` marks every reference that names no living record at the reference's time (direct), and then cascades: a
 record that holds an orphan reference is itself unreliable, so references to *it* are inherited orphans, and so on down
-the foreign-key graph until a fixpoint.  Each round is one semi-join of the edges with the keys found last; the graph of
-records (not the referring rows) is iterated, and the lineage is cut after every round.
+the foreign-key graph until a fixpoint.  Each round is one semi-join of the edges between records with the records found
+last; the lineage is cut after every round, and rounds are appended, not rewritten.
 
-Existence is an interval lookup.  The lives of a key (latest delivery of each life) are merged into disjoint intervals,
-replicated over a few salts and anti-joined, so a key that holds a third of all references is spread over as many tasks,
-and a reference matches at most one interval.  Null keys or times are no reference.  Repeated references stay repeated.
+Everything that depends on time is a timeline: the births and deaths of the lives of a key, its deliveries and the
+references to it, sorted by time.  A running sum tells whether some life holds, the last delivery is the record in force.
+So a pass costs one shuffle and one sort of the narrow references, whatever the number of lives.  A key that holds more
+than a task's share of the references is spread over as many tasks as it needs, and only its few steps are copied.
+
+Null keys or times are no reference.  Repeated references stay repeated.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ KINDS = {
     "chartofcharacteristictypes": ("планвидовхарактеристик", "chartofcharacteristictypes"),
     "definedtype": ("определяемыйтип", "definedtype"),
 }
-SALTS = 8
 
 _SPELLINGS = {s: k for k, ss in KINDS.items() for s in ss}
+BLANKS = " \t\n\x0b\f\r"
+# a type as it stands before the full stop: singular, plural or as a type of references
+_HEADS = {s + end: k for s, k in _SPELLINGS.items() for end in ("", "ref", "ссылка", "s")}
 _REFERENCE = r"(?<![\p{L}\p{N}_.])(?iu:(" + "|".join(_SPELLINGS) + r")(?:ref|ссылка|s|)?)\s*+\.\s*+([\p{L}_][\p{L}\p{N}_]*+)"
 
 
@@ -52,12 +57,15 @@ def references_in(text: Column) -> Column:
 
 def leading_reference(text: Column) -> Column:
     """The reference a table name starts with (a virtual table, section or parameter list may follow); else null."""
-    head = F.regexp_extract(text, r"(?s)^\s*" + _REFERENCE, 0)
-    return F.when(head != "", canonical(head))
+    stop = F.instr(text, ".")
+    spelled = F.lower(F.btrim(F.substring(text, F.lit(1), stop - 1), F.lit(BLANKS)))
+    kind = F.try_element_at(F.create_map(*(F.lit(x) for kv in _HEADS.items() for x in kv)), spelled)
+    name = F.regexp_extract(F.substring(text, stop + 1, F.length(text)), r"^\s*+([\p{L}_][\p{L}\p{N}_]*+)", 1)
+    return F.when((stop > 0) & (name != ""), F.concat(kind, F.lit("."), F.lower(name)))
 
 
 def lives(objects: DataFrame) -> DataFrame:
-    """ref, born, died: disjoint intervals in which some object of that type and name exists.
+    """ref, at, delta: at which times how many more (or fewer) objects of that type and name exist.
 
     Of each uuid the row with the latest ``loaded_at`` counts (the larger ``obj_id`` on a tie); a life that ends before it
     begins is none; one without a creation time is none.
@@ -65,27 +73,61 @@ def lives(objects: DataFrame) -> DataFrame:
     latest = (
         objects.groupBy("uuid")
         .agg(F.max_by(F.struct("object_type", "object_name", "created_at", "deleted_at"), F.struct("loaded_at", "obj_id")).alias("x"))
-        .select(
-            F.concat_ws(".", _kind_of(F.trim("x.object_type")), F.lower(F.trim("x.object_name"))).alias("ref"),
-            F.col("x.created_at").alias("born"),
-            F.coalesce("x.deleted_at", F.lit("9999-12-31").cast(objects.schema["created_at"].dataType)).alias("died"),
-        )
-        .where("ref IS NOT NULL AND born < died")
+        .select(owner_of("x.object_type", "x.object_name").alias("ref"), F.col("x.created_at").alias("born"), F.col("x.deleted_at").alias("died"))
+        .where("ref IS NOT NULL AND born IS NOT NULL AND (died IS NULL OR born < died)")
     )
-    # islands: a life starts a new interval if it begins after everything before it has ended
-    w = Window.partitionBy("ref").orderBy("born", "died")
-    before = F.max("died").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = latest.withColumn("isle", F.sum(F.when(before >= F.col("born"), 0).otherwise(1)).over(w))
-    return marked.groupBy("ref", "isle").agg(F.min("born").alias("born"), F.max("died").alias("died")).drop("isle")
+    steps = latest.select("ref", F.inline(F.array(F.struct(F.col("born").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("died").alias("at"), F.lit(-1).alias("delta")))))
+    return steps.where("at IS NOT NULL").groupBy("ref", "at").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+
+
+def owner_of(kind: str, name: str) -> Column:
+    """The reference by which an object is named; null if its type or name is none."""
+    return F.concat(_kind_of(F.trim(kind)), F.lit("."), F.lower(F.trim(name)))
+
 
+def deliveries(objects: DataFrame) -> DataFrame:
+    """ref, at, record: the delivered rows of every object, each in force until the next one of that type and name."""
+    return objects.select(owner_of("object_type", "object_name").alias("ref"), F.col("loaded_at").alias("at"), F.col("obj_id").alias("record")).where("ref IS NOT NULL AND at IS NOT NULL")
+
+
+def hot_keys(refs: DataFrame) -> DataFrame:
+    """ref, parts: the keys with more references than an even task has, and how many tasks such a key is spread over.
+
+    There are never more of them than tasks, which bounds the table for broadcasting.
+    """
+    tasks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = checkpointed(refs.groupBy("ref").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") * tasks > total).select("ref", F.ceil(F.col("n") * tasks / F.lit(max(total, 1))).cast("int").alias("parts"))
 
-def missing_at(refs: DataFrame, alive: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Rows of ``refs`` (ref, ts, ...) whose ref is in no interval of ``alive`` at ``ts``."""
-    salted = refs.withColumn("__salt", F.pmod(F.xxhash64("ts"), F.lit(salts)).cast("int"))
-    spread = alive.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    r, a = salted.alias("r"), spread.alias("a")
-    on = (F.col("r.ref") == F.col("a.ref")) & (F.col("r.__salt") == F.col("a.__salt")) & (F.col("a.born") <= F.col("r.ts")) & (F.col("a.died") > F.col("r.ts"))
-    return r.join(a, on, "left_anti").drop("__salt")
+
+def at_time(refs: DataFrame, alive: DataFrame, records: DataFrame | None, hot: DataFrame) -> DataFrame:
+    """``refs`` (src, rec_id, ref, ts) with ``exists`` and the columns ``record`` and ``level`` of the delivery in force.
+
+    ``alive`` are the steps of ``lives``; ``records`` the deliveries (ref, at, record, level).  What happens at the very
+    time of a reference counts as before it.
+    """
+    key = refs.schema["rec_id"].dataType.simpleString()
+    none = F.lit(None)
+
+    def line(df: DataFrame, at: str, side: int, delta: Column = F.lit(0), record: Column = none, level: Column = none, src: Column = none, rec_id: Column = none) -> DataFrame:
+        return df.select(
+            "ref", F.col(at).alias("ts"), F.lit(side).alias("side"), delta.cast("long").alias("delta"), record.cast("long").alias("record"), level.cast("int").alias("level"),
+            src.cast("string").alias("src"), rec_id.cast(key).alias("rec_id"),
+        )
+
+    steps = line(alive, "at", 0, delta=F.col("delta"))
+    if records is not None:
+        steps = steps.unionByName(line(records, "at", 1, record=F.col("record"), level=F.coalesce("level", F.lit(-1))))
+    points = line(refs, "ts", 2, src=F.col("src"), rec_id=F.col("rec_id"))
+    few = F.broadcast(hot)  # at most one row per task
+    points = points.join(few, "ref", "left").withColumn("part", F.pmod(F.xxhash64("rec_id", "ts"), F.coalesce("parts", F.lit(1))).cast("int"))
+    steps = steps.join(few, "ref", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    w = Window.partitionBy("ref", "part").orderBy("ts", "side", "record").rowsBetween(Window.unboundedPreceding, 0)
+    placed = points.unionByName(steps).withColumns(
+        {"exists": F.sum("delta").over(w) > 0, "in_force": F.last(F.when(F.col("side") == 1, F.struct("record", "level")), ignorenulls=True).over(w)}
+    )
+    return placed.where("side = 2").select("src", "rec_id", "ref", "ts", "exists", "in_force.record", "in_force.level")
 
 
 def config_references(query_tables: DataFrame, config_objects: DataFrame, cfe_diffs: DataFrame) -> DataFrame:
@@ -104,48 +146,40 @@ def config_references(query_tables: DataFrame, config_objects: DataFrame, cfe_di
 def field_references(config_objects: DataFrame) -> DataFrame:
     """obj_id, loaded_at, owner (the object's own ref), ref: every reference in a data_type inside ``fields``."""
     keyed = config_objects.select(
-        F.struct("obj_id", "loaded_at", F.concat_ws(".", _kind_of(F.trim("object_type")), F.lower(F.trim("object_name"))).alias("owner")).alias("k"), "fields"
+        F.struct("obj_id", "loaded_at", owner_of("object_type", "object_name").alias("owner")).alias("k"), "fields"
     )
     types = F.flatten(F.transform("tree", lambda f: F.concat(F.array(f["data_type"]), F.transform(f["attrs"], lambda a: a["data_type"]))))
     text = F.concat_ws(" ; ", types)
     return field_tree(keyed, "k", "fields").select("rec_id.*", F.explode(references_in(F.regexp_replace(text, r"\\[nrt]", " "))).alias("ref"))
 
 
-def orphans(refs: DataFrame, alive: DataFrame, edges: DataFrame | None = None, max_depth: int = 50) -> DataFrame:
+def orphans(refs: DataFrame, alive: DataFrame, records: DataFrame | None = None, source: str = "config_objects") -> DataFrame:
     """src, rec_id, ref, ts, depth of every orphan reference: depth 0 direct, n inherited over n steps.
 
-    ``edges`` (owner, ref) is the foreign-key graph among the referred objects, ``owner`` holding the reference.  A record
-    ``owner`` with an orphan reference makes the references to ``owner`` inherited orphans of the next depth.  A reference
-    appears once per record, with its least depth.  Stops when a round adds no object (cycles end by themselves), at
-    ``max_depth`` at the latest.  Without ``edges`` only direct orphans are found.
+    ``records`` are the ``deliveries`` of the table ``source``, whose rows can both refer and be referred to: a reference
+    that exists, but whose record in force holds an orphan reference (direct or inherited), is an inherited orphan of the
+    next depth.  A reference has its least depth.  Stops when a round finds no record (cycles end by themselves).  Without
+    ``records`` only direct orphans are found.
     """
-    direct = missing_at(refs, alive)
-    if edges is None:
-        return direct.withColumn("depth", F.lit(0))
-    found = checkpointed(direct.withColumn("depth", F.lit(0)))
-    graph = checkpointed(edges.distinct())
-    # objects that hold a direct orphan: the owners of config_objects rows among the orphans come through the edge list
-    frontier = checkpointed(graph.join(found.where("src = 'config_objects'").select("ref").distinct(), "ref", "left_semi").select("owner").distinct())
-    tainted, depth = frontier.withColumn("depth", F.lit(1)), 1
-    while depth < max_depth and not frontier.isEmpty():
-        reached = graph.join(frontier.select(F.col("owner").alias("ref")), "ref", "left_semi").select("owner").distinct()
-        frontier = checkpointed(reached.join(tainted.select("owner"), "owner", "left_anti"))
-        depth += 1
-        tainted = checkpointed(tainted.unionByName(frontier.withColumn("depth", F.lit(depth))))
-    spread = tainted.select(F.col("owner").alias("ref"), "depth").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    inherited = (
-        refs.withColumn("__salt", F.pmod(F.xxhash64("ts"), F.lit(SALTS)).cast("int"))
-        .join(spread, ["ref", "__salt"])
-        .select("src", "rec_id", "ref", "ts", "depth")
-    )
-    # an object that is both missing and tainted stays direct
-    return found.unionByName(missing_from(inherited, found))
-
-
-def missing_from(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows whose (src, rec_id, ref, ts) is not among ``known``."""
-    keys = ["src", "rec_id", "ref", "ts"]
-    return rows.join(known.select(*keys).distinct(), keys, "left_anti")
+    hot = hot_keys(refs)
+    if records is None:
+        return at_time(refs, alive, None, hot).where("NOT exists").select("src", "rec_id", "ref", "ts", F.lit(0).alias("depth"))
+    plain = records.withColumn("level", F.lit(None).cast("int"))
+    own = checkpointed(at_time(refs.where(F.col("src") == source), alive, plain, hot).select("rec_id", "exists", "record"))
+    edges = own.where("exists AND record IS NOT NULL AND record <> rec_id").select("rec_id", F.col("record").alias("parent")).distinct()
+    frontier = checkpointed(own.where("NOT exists").select("rec_id").distinct())
+    known, level, pieces = frontier.withColumn("level", F.lit(0)), 0, 1
+    edges = checkpointed(edges)
+    while not frontier.isEmpty():
+        level += 1
+        reached = edges.join(frontier.select(F.col("rec_id").alias("parent")), "parent", "left_semi").select("rec_id").distinct()
+        frontier = checkpointed(reached.join(known.select("rec_id"), "rec_id", "left_anti"))
+        known, pieces = known.unionByName(frontier.withColumn("level", F.lit(level))), pieces + 1
+        if pieces == 20:  # keeps the plan short on deep graphs
+            known, pieces = checkpointed(known), 1
+    judged = records.join(known.withColumnRenamed("rec_id", "record"), "record", "left")
+    depth = F.when(~F.col("exists"), 0).when(F.col("level") >= 0, F.col("level") + 1)
+    return at_time(refs, alive, judged, hot).select("src", "rec_id", "ref", "ts", depth.alias("depth")).where("depth IS NOT NULL")
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -14,8 +14,7 @@ METHOD_TEXTS = "title name_ru name_en category version_since version_deprecated
 def _p2(spark: SparkSession, d: str) -> DataFrame:
     objects = table(spark, d, "config_objects")
     refs = references.config_references(table(spark, d, "query_tables"), objects, table(spark, d, "cfe_diffs"))
-    edges = references.field_references(objects).select("owner", "ref")
-    return references.orphans(refs, references.lives(objects), edges)
+    return references.orphans(refs, references.lives(objects), references.deliveries(objects))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import datetime as dt
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 
@@ -77,10 +77,33 @@ def test_p2(spark, data):
     for r in rows(data, "config_objects"):
         for part in re.findall(r"\w+(?:Ref|Ссылка)\.\w+|(?:DefinedType|ОпределяемыйТип)\.\w+", types_in(load(r["fields"])), re.I):
             refs.add(("config_objects", r["obj_id"], ref_of(part), r["loaded_at"]))
-    want = {(s, i, ref) for s, i, ref, t in refs if ref and t and not any(a <= t < b for a, b in alive[ref])}
+    refs = {x for x in refs if x[2] and x[3]}
+    exists = lambda ref, t: any(a <= t < b for a, b in alive[ref])
+    want = {(s, i, ref) for s, i, ref, t in refs if not exists(ref, t)}
     got = tuples(g.p2_found(spark, data), "src", "rec_id", "ref")
     assert got == sorted(want) and len(got) > 20
 
+    # the cascade, record by record: what a record in force holds is passed on to what refers to it
+    history = defaultdict(list)
+    for o in sorted(rows(data, "config_objects"), key=lambda o: (o["loaded_at"], o["obj_id"])):
+        history[f"{o['object_type'].strip().lower()}.{o['object_name'].strip().lower()}"].append((o["loaded_at"], o["obj_id"]))
+    in_force = lambda ref, t: max(((a, i) for a, i in history[ref] if a <= t), default=(None, None))[1]
+    level = {i: 0 for s, i, ref, t in refs if s == "config_objects" and not exists(ref, t)}
+    links = [(i, in_force(ref, t)) for s, i, ref, t in refs if s == "config_objects" and exists(ref, t)]
+    for depth in range(1, 1000):
+        new = {i for i, p in links if i not in level and level.get(p) == depth - 1}
+        level |= dict.fromkeys(new, depth)
+        if not new:
+            break
+    months = Counter()
+    for s, i, ref, t in refs:
+        direct, held = not exists(ref, t), in_force(ref, t) in level
+        if direct or held:
+            months[s, f"{t:%Y-%m}", "direct" if direct else "inherited"] += 1
+    report = {(r.src, r.month): (r.direct, r.inherited) for r in g.p2_report(spark, data).collect()}
+    assert report == {(s, m): (months[s, m, "direct"], months[s, m, "inherited"]) for s, m, _ in months}
+    assert sum(n for _, n in report.values()) > 0
+
 
 def test_p2_cascade(spark):
     t = dt.datetime
@@ -89,16 +112,41 @@ def test_p2_cascade(spark):
         "obj_id long, uuid string, object_type string, object_name string, created_at timestamp, deleted_at timestamp, loaded_at timestamp",
     )
     refs = spark.createDataFrame(
-        [("config_objects", 1, "catalog.нет", t(2024, 1, 3)), ("config_objects", 2, "catalog.а", t(2024, 1, 3)), ("q", 9, "catalog.б", t(2024, 1, 3)), ("q", 8, "catalog.в", t(2024, 2, 1)), ("q", 7, "catalog.в", t(2024, 1, 31))],
+        [("config_objects", 1, "catalog.нет", t(2024, 1, 3)), ("config_objects", 1, "catalog.б", t(2024, 1, 3)), ("config_objects", 2, "catalog.а", t(2024, 1, 3)), ("q", 9, "catalog.б", t(2024, 1, 3)), ("q", 8, "catalog.в", t(2024, 2, 1)), ("q", 7, "catalog.в", t(2024, 1, 31))],
         "src string, rec_id long, ref string, ts timestamp",
     )
-    edges = spark.createDataFrame([("catalog.а", "catalog.нет"), ("catalog.б", "catalog.а"), ("catalog.а", "catalog.б")], "owner string, ref string")
-    alive = references.lives(objects)
-    got = tuples(references.orphans(refs, alive, edges), "src", "rec_id", "depth")
+    alive, records = references.lives(objects), references.deliveries(objects)
+    got = tuples(references.orphans(refs, alive, records), "src", "rec_id", "ref", "depth")
     # rec 2 refers to А, which holds an orphan; q 9 refers to Б, which holds a reference to А; the cycle А <-> Б ends
-    assert got == [("config_objects", 1, 0), ("config_objects", 2, 1), ("q", 8, 0), ("q", 9, 2)]
-    assert references.orphans(refs.limit(0), alive, edges).count() == 0
-    assert references.orphans(refs, alive.limit(0)).count() == 5
+    assert got == [("config_objects", 1, "catalog.б", 2), ("config_objects", 1, "catalog.нет", 0), ("config_objects", 2, "catalog.а", 1), ("q", 8, "catalog.в", 0), ("q", 9, "catalog.б", 2)]
+    assert references.orphans(refs.limit(0), alive, records).count() == 0 and references.orphans(refs, alive, records.limit(0)).count() == 2
+    assert references.orphans(refs, alive.limit(0)).count() == 6
+    # a key that nearly all refer to is spread over tasks
+    many = refs.where("rec_id = 8").crossJoin(spark.range(500).withColumnRenamed("id", "n")).selectExpr("src", "rec_id + n AS rec_id", "ref", "ts")
+    assert references.hot_keys(many).first().parts > 1 and references.orphans(many.unionByName(refs), alive, records).count() == 505
+
+
+def test_p2_another_time_is_no_orphan(spark):
+    """A reference made while its object lives stays clean, though an older one to the same object was an orphan."""
+    t = dt.datetime
+    objects = spark.createDataFrame(
+        [(1, "a", "Catalog", "А", t(2024, 1, 1), None, t(2024, 1, 2)), (2, "b", "Catalog", "Б", t(2024, 1, 1), None, t(2024, 3, 1)), (3, "x", "Catalog", "Х", t(2024, 2, 1), None, t(2024, 2, 1)), (4, "a", "Catalog", "А", t(2024, 1, 1), None, t(2024, 3, 5))],
+        "obj_id long, uuid string, object_type string, object_name string, created_at timestamp, deleted_at timestamp, loaded_at timestamp",
+    )
+    refs = spark.createDataFrame(
+        [("config_objects", 1, "catalog.х", t(2024, 1, 2)), ("config_objects", 2, "catalog.х", t(2024, 3, 1)), ("q", 5, "catalog.б", t(2024, 3, 2)), ("q", 6, "catalog.а", t(2024, 3, 2)), ("q", 7, "catalog.а", t(2024, 3, 6))],
+        "src string, rec_id long, ref string, ts timestamp",
+    )
+    got = tuples(references.orphans(refs, references.lives(objects), references.deliveries(objects)), "src", "rec_id", "depth")
+    assert got == [("config_objects", 1, 0), ("q", 6, 1)]  # the delivery of А in force on 6 March holds no orphan
+
+
+def test_p2_long_chain(spark):
+    """Every step of a chain of 60 records is reached."""
+    t = dt.datetime(2024, 1, 1)
+    objects = spark.createDataFrame([(i, f"u{i}", "Catalog", f"О{i}", t, None, t) for i in range(60)], "obj_id long, uuid string, object_type string, object_name string, created_at timestamp, deleted_at timestamp, loaded_at timestamp")
+    refs = spark.createDataFrame([("config_objects", i, f"catalog.о{i - 1}" if i else "catalog.нет", t) for i in range(60)], "src string, rec_id long, ref string, ts timestamp")
+    assert tuples(references.orphans(refs, references.lives(objects), references.deliveries(objects)), "rec_id", "depth") == [(i, i) for i in range(60)]
 
 
 def split_packed(text):
