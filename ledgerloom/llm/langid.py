@@ -46,6 +46,7 @@ LATIN = {
     "bg": "а=a б=b в=v г=g д=d е=e ж=zh з=z и=i й=y к=k л=l м=m н=n о=o п=p р=r с=s т=t у=u ф=f х=h ц=ts ч=ch ш=sh щ=sht ъ=a ь=y ю=yu я=ya",
 }
 IDENTIFIER = re.compile(r"\b\w*(?:\d|_|[^\W\d_](?<=[a-zа-яёіїєґ])[A-ZА-ЯЁІЇЄҐ])\w*\b")
+INSIDE = re.compile(r"\d|_|[a-zа-яёіїєґ][A-ZА-ЯЁІЇЄҐ]")  # what makes a word an identifier
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -59,7 +60,9 @@ def named_languages(label: Column) -> Column:
 
 def prose(sentence: str) -> str:
     """Lower-case words of a sentence without identifiers, padded for n-grams at word borders."""
-    return " " + " ".join(LETTERS.findall(IDENTIFIER.sub(" ", sentence).lower())) + " "
+    if INSIDE.search(sentence):
+        sentence = IDENTIFIER.sub(" ", sentence)
+    return " " + " ".join(LETTERS.findall(sentence.lower())) + " "
 
 
 def latin(text: str, language: str, variant: int) -> str:

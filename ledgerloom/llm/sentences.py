@@ -19,12 +19,13 @@ TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<\|[^|<>]*\|>")
 END = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s|$|<|&)")
 OPENS = re.compile(r"^[\"'«“„(¿¡\[]*[^\W\d_]")
 WORDS = re.compile(r"[^\W\d_]+(?:['’ʼ`-][^\W\d_]+)*")
-# marks that prose doesn't hold: assignment, braces, row marks, paths, chained calls, a semicolon at the end
-CODE = re.compile(r"[={}|]|\)\.\w|^\s*[&#<]|</|::|[^\W\d]\.\w+\.\w|;\W*$")
+# marks that prose doesn't hold: assignment, braces, row marks, paths, chained calls, a semicolon at the end; what stands
+# before each is a cheap test, for most sentences hold none of them
+SURE = (("=", None), ("{", None), ("}", None), ("|", None), ("</", None), ("::", None), (").", re.compile(r"\)\.\w")), (".", re.compile(r"[^\W\d]\.\w+\.\w")), (";", re.compile(r";\W*$")))
 CALL = re.compile(r"\w+\((?!\w{1,3}\))[^()]*\)?")  # not the ending in "file(s)"
 # marks that prose may hold too: code only where two kinds of them meet
 KEYWORD = re.compile(r"\b(?:Конец(?:Функции|Процедуры|Если|Цикла|Попытки)|ИначеЕсли|ВызватьИсключение|End(?:Function|Procedure|If|Do|Try)|ElsIf)\b", re.IGNORECASE)
-SHARED = (re.compile(";"), CALL, re.compile(r"\w\["), KEYWORD)
+INDEX = re.compile(r"\w\[")
 HEADING = re.compile(r"^\s*#{1,6}\s")
 # invisible format characters (category Cf)
 FORMAT = re.compile("[" + "".join(re.escape(chr(i)) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Cf") + "]+")
@@ -37,23 +38,25 @@ def clean(text: str) -> str:
         text = html.unescape(html.unescape(text))
     if "<" in text:
         text = TAG.sub(" ", text)
-    if not text.isascii():
-        if not unicodedata.is_normalized("NFKC", text):
-            text = unicodedata.normalize("NFKC", text)
-        text = FORMAT.sub("", text)
-    return " ".join(text.split())
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    text = " ".join(text.split())
+    return text if text.isprintable() else " ".join(FORMAT.sub("", text).split())  # format characters are not printable
 
 
 def is_code(s: str) -> bool:
     """A sure mark of code, two kinds of marks that prose shares, or fewer than three words beside the calls."""
-    if CODE.search(s) or sum(bool(p.search(s)) for p in SHARED) > 1:
+    if s.lstrip()[:1] in ("&", "#", "<") or any(mark in s and (rule is None or rule.search(s)) for mark, rule in SURE):
+        return True
+    shared = (";" in s) + ("(" in s and bool(CALL.search(s))) + ("[" in s and bool(INDEX.search(s)))
+    if shared and (shared > 1 or KEYWORD.search(s)):
         return True
     return "(" in s and len(WORDS.findall(CALL.sub(" ", s))) < 3
 
 
 def is_sentence(s: str) -> bool:
     """A whole sentence: opens with a letter, ends with a stop, holds at least three words and no code."""
-    return bool(OPENS.match(s)) and bool(re.search(r"[.!?…][\"'»”)\]]*$", s)) and len(WORDS.findall(s)) >= 3 and not is_code(s)
+    return bool(OPENS.match(s)) and s.rstrip("\"'»”)]").endswith((".", "!", "?", "…")) and len(WORDS.findall(s)) >= 3 and not is_code(s)
 
 
 def _in_line(raw: str) -> list[tuple[int, int, str]]:
@@ -66,7 +69,9 @@ def _in_line(raw: str) -> list[tuple[int, int, str]]:
         pos = opened.end() if opened else 0
         for stop in [*(x.end() for x in END.finditer(part, pos)), len(part)]:
             if stop > pos:
-                s = PREFIX.sub("", clean(part[pos:stop]))
+                s = clean(part[pos:stop])
+                if s and not (s[0].isalpha() and s[1:2] != ":"):
+                    s = PREFIX.sub("", s)
                 if s and is_sentence(s):
                     found.append((offset + pos, offset + stop, s))
             pos = stop
