@@ -1,14 +1,15 @@
 """What changed between full snapshots.
 
-Rows are reduced to (version, key, digest) while scanning; only these narrow rows are shuffled, once, by a range of the
-hashed key.  Inside a range the keys are sorted by their hash and cut into content-defined chunks (a key whose hash is a
-multiple of ``chunk_rows`` starts a chunk, in every snapshot alike).  Chunks whose digests agree in two consecutive
-snapshots are discarded; the rows of the others are joined by key and classified.  Sorting by the hashed key makes every
-range equally large whatever the keys look like, so no key range can grow hot, and all steps after the first shuffle
-reuse its partitioning.
-
-If a snapshot holds a key more than once the latest delivery counts (the larger id on a tie).  Rows without key or
-version number belong to no snapshot.  Fewer than two snapshots give no rows.
+A snapshot is read in the order of its keys' hashes and cut into content-defined chunks: the keys whose hashes begin with
+the same bits.  A key's chunk depends on nothing but the key, so records that come or go move no other chunk's border, and
+every chunk is about equally large whatever the keys look like.  No row moves for that: each task sums up, per chunk and
+version, an order-free digest of its (key, content) pairs, and only these digests are shuffled.  Chunks whose digests agree
+in two consecutive snapshots are discarded; the rows of the others, reduced to key, version and content digest, are brought
+together by key and classified against their neighbour version.
+
+If a snapshot holds a key more than once the latest delivery counts (the larger id on a tie).  Bit masks of the keys' hashes
+tell where that may be so: such chunks never count as matching, and only there the deliveries are compared.  Rows without
+key or version number belong to no snapshot.  Fewer than two snapshots give no rows.
 """
 
 from __future__ import annotations
@@ -18,14 +19,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\u0085   -     　]+"
-RANGES = 4096
+from ledgerloom.session import stored
+
+SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: a text that holds neither two blanks in a row nor one of these needs no cleaning but at its ends
+RARE = r"[^ -~\u00a1-\u167f]"
 MAX_VERSIONS = 10_000
+#: chunks times versions; bounds what is compared, and what is broadcast, at any number of rows
+MOST_DIGESTS = 1 << 20
 
 
 def normal_text(c: Column) -> Column:
     """Null as the empty string, white space trimmed and collapsed."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
+    text = F.coalesce(c, F.lit(""))
+    odd = F.contains(text, F.lit("  ")) | text.rlike(RARE)
+    return F.when(odd, F.trim(F.regexp_replace(text, SPACE, " "))).otherwise(F.trim(text))
 
 
 def normal_json(c: Column) -> Column:
@@ -38,14 +46,45 @@ def version_number(c: Column) -> Column:
     return F.transform(F.split(c, r"\."), lambda p: p.try_cast("long") if hasattr(p, "try_cast") else p.cast("long"))
 
 
-def consecutive_versions(df: DataFrame, version: str) -> list[tuple[str, str]]:
-    """Neighbours by version number among the versions that have rows.  The list is bounded: more than MAX_VERSIONS raise."""
-    seen = df.select(F.trim(F.regexp_replace(version, SPACE, " ")).alias("v")).where(r"v RLIKE '^[0-9]+([.][0-9]+)*$'").distinct()
+def snapshot_sizes(df: DataFrame, version: str) -> list[tuple[str, int]]:
+    """(version, rows) by version number.  The list is bounded: more than MAX_VERSIONS raise."""
+    seen = df.select(normal_text(F.col(version)).alias("v")).where(r"v RLIKE '^[0-9]+([.][0-9]+)*$'").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     rows = seen.orderBy(version_number(F.col("v"))).limit(MAX_VERSIONS + 1).collect()
     if len(rows) > MAX_VERSIONS:
         raise ValueError(f"more than {MAX_VERSIONS} versions")
-    names = [r.v for r in rows]
-    return list(zip(names, names[1:]))
+    return [(r.v, r.n) for r in rows]
+
+
+def _chunk_of(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits).cast("int") if bits else F.lit(0)
+
+
+def _bit(shift: int) -> str:
+    return f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(h, {shift}) & 63 AS INT)))"
+
+
+def chunk_digests(narrow: DataFrame, bits: int) -> DataFrame:
+    """c, v, n, x, y, repeats: per chunk and version the number of rows, two order-free digests, and whether a key may be
+    there twice (always told if one is)."""
+    parts = narrow.select(_chunk_of(F.col("k"), bits).alias("c"), "v", F.xxhash64("k").alias("h"), "d")
+    sums = parts.groupBy("c", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h", "d")).alias("x"), F.bit_xor(F.xxhash64("d", "h")).alias("y"), F.expr(_bit(0)).alias("a"), F.expr(_bit(6)).alias("b")
+    )
+    return sums.select("c", "v", "n", "x", "y", ((F.bit_count("a") < F.col("n")) & (F.bit_count("b") < F.col("n"))).alias("repeats"))
+
+
+def unmatched_chunks(digests: DataFrame, n_pairs: int) -> DataFrame:
+    """c, pairs, repeats: the chunks to look into, the numbers of the version pairs they differ in, and the versions in
+    which a key may be there twice."""
+    side = digests.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("v", F.struct("n", "x", "y", "repeats")))).alias("by"))
+
+    def differs(i: Column) -> Column:
+        a, b = F.try_element_at("by", i), F.try_element_at("by", i + 1)
+        return ~a.eqNullSafe(b) | F.coalesce(a["repeats"], F.lit(False)) | F.coalesce(b["repeats"], F.lit(False))
+
+    pairs = F.filter(F.sequence(F.lit(0), F.lit(n_pairs - 1)), differs)
+    twice = F.transform(F.filter(F.map_entries("by"), lambda e: e["value"]["repeats"]), lambda e: e["key"])
+    return side.select("c", pairs.alias("pairs"), twice.alias("repeats")).where(F.size("pairs") > 0)
 
 
 def snapshot_changes(
@@ -55,49 +94,35 @@ def snapshot_changes(
     order: Sequence[str],
     texts: Sequence[str],
     jsons: Sequence[str] = (),
-    chunk_rows: int = 4,
-    ranges: int = RANGES,
+    chunk_rows: int = 8,
 ) -> DataFrame:
     """version_from, version_to, key, change ('added', 'removed', 'changed') for each pair of consecutive versions."""
-    pairs = consecutive_versions(df, version)
-    if not pairs:
+    sizes = snapshot_sizes(df, version)
+    if len(sizes) < 2:
         return df.limit(0).select(F.lit("").alias("version_from"), F.lit("").alias("version_to"), F.col(key), F.lit("").alias("change"))
+    names = [v for v, _ in sizes]
+    chunks = min(MOST_DIGESTS // len(names), max(n for _, n in sizes) // chunk_rows)
+    bits = max(0, chunks.bit_length() - 1)
     content = [normal_text(F.col(c)) for c in texts] + [normal_json(F.col(c)) for c in jsons]
-    joined = F.concat_ws("\u0002", *content)
-    rank = {v: i for i, v in enumerate([pairs[0][0], *(b for _, b in pairs)])}
-    ranks = F.create_map(*(F.lit(x) for kv in rank.items() for x in kv))
-    narrow = df.where(F.col(key).isNotNull()).select(
-        F.try_element_at(ranks, F.trim(F.regexp_replace(version, SPACE, " "))).alias("v"),
-        F.col(key).alias("k"),
-        F.xxhash64(key).alias("h"),
-        F.struct(*order).alias("o"),
-        F.unhex(F.substring(F.sha2(joined, 256), 1, 32)).alias("d"),
-    )
-    # one shuffle; every grouping and window below contains the range and so keeps this partitioning
-    placed = narrow.where("v IS NOT NULL").withColumn("r", F.pmod(F.shiftrightunsigned("h", 40), F.lit(ranges)).cast("int")).repartition("r")
-    rows = placed.groupBy("r", "h", "k", "v").agg(F.max_by("d", "o").alias("d"))
-    w = Window.partitionBy("r").orderBy("h", "k").rowsBetween(Window.unboundedPreceding, 0)
-    cut = F.last(F.when(F.pmod("h", F.lit(chunk_rows)) == 0, F.col("h")), ignorenulls=True).over(w)
-    chunks = (
-        rows.withColumn("c", F.coalesce(cut, F.lit(-1)))
-        .groupBy("r", "c", "v")
-        .agg(F.sort_array(F.collect_list(F.struct("k", "d"))).alias("rows"))
-        .withColumn("digest", F.xxhash64("rows.k", "rows.d"))
-    )
-    # the snapshots of one chunk side by side; at most one entry per version
-    side = chunks.groupBy("r", "c").agg(F.map_from_entries(F.collect_list(F.struct("v", F.struct("digest", "rows")))).alias("by"))
-    numbered = F.transform(F.sequence(F.lit(0), F.lit(len(pairs) - 1)), lambda i: F.struct(i.alias("i"), F.try_element_at("by", i).alias("a"), F.try_element_at("by", i + 1).alias("b")))
-    unmatched = side.select("r", "c", F.explode(F.filter(numbered, lambda x: ~x["a"]["digest"].eqNullSafe(x["b"]["digest"]))).alias("x"))
-
-    def tagged(which: str) -> DataFrame:
-        return F.transform(F.coalesce(F.col(f"x.{which}.rows"), F.array()), lambda e: F.struct(F.lit(which).alias("side"), e["k"].alias("k"), e["d"].alias("d")))
-
-    both = unmatched.select("r", "c", F.col("x.i").alias("i"), F.inline(F.concat(tagged("a"), tagged("b"))))
-    joined_rows = both.groupBy("r", "c", "i", "k").agg(F.max(F.when(F.col("side") == "a", F.col("d"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("d"))).alias("b"))
-    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
-    names = F.array(*(F.struct(F.lit(a).alias("f"), F.lit(b).alias("t")) for a, b in pairs))
-    return (
-        joined_rows.withColumn("change", change)
-        .where("change IS NOT NULL")
-        .select(F.get(names, F.col("i"))["f"].alias("version_from"), F.get(names, F.col("i"))["t"].alias("version_to"), F.col("k").alias(key), "change")
-    )
+    ranks = F.create_map(*(F.lit(x) for i, v in enumerate(names) for x in (v, i)))
+    narrow = stored(
+        df.where(F.col(key).isNotNull())
+        .select(
+            F.try_element_at(ranks, normal_text(F.col(version))).alias("v"), F.col(key).alias("k"), F.struct(*order).alias("o"),
+            F.unhex(F.substring(F.sha2(F.concat_ws("\u0002", *content), 256), 1, 32)).alias("d"),
+        )
+        .where("v IS NOT NULL")
+    )
+    need = F.broadcast(unmatched_chunks(chunk_digests(narrow, bits), len(names) - 1))  # at most MOST_DIGESTS entries
+    moved = narrow.withColumn("c", _chunk_of(F.col("k"), bits)).join(need, "c").where(F.array_contains("pairs", F.col("v")) | F.array_contains("pairs", F.col("v") - 1))
+    twice = F.array_contains("repeats", F.col("v"))
+    rows = moved.where(~twice).select("k", "v", "d").unionByName(moved.where(twice).groupBy("k", "v").agg(F.max_by("d", "o").alias("d")))
+    w = Window.partitionBy("k").orderBy("v")
+    near = rows.withColumns({"before": F.lag(F.struct("v", "d")).over(w), "after": F.lead("v").over(w)})
+    there = F.col("before.v").eqNullSafe(F.col("v") - 1)
+    # a pair is judged at its later version, but for what was removed
+    at_end = F.when(~there, "added").when(F.col("before.d") != F.col("d"), "changed")
+    events = F.array(F.struct((F.col("v") - 1).alias("i"), at_end.alias("change")), F.struct(F.col("v").alias("i"), F.when(~F.col("after").eqNullSafe(F.col("v") + 1), "removed").alias("change")))
+    told = near.select(_chunk_of(F.col("k"), bits).alias("c"), "k", F.explode(F.filter(events, lambda e: e["change"].isNotNull())).alias("e")).join(need, "c").where(F.array_contains("pairs", F.col("e.i")))
+    listed = F.array(*(F.lit(v) for v in names))
+    return told.select(F.get(listed, F.col("e.i")).alias("version_from"), F.get(listed, F.col("e.i") + 1).alias("version_to"), F.col("k").alias(key), F.col("e.change").alias("change"))

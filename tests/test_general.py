@@ -283,3 +283,44 @@ def test_p6_cases(spark):
     one = mk((1, "1.2", "a", None, '{"x":1,"y":2}', 0), (2, "1.10 ", "a", "", '{"y": 2, "x": 1}', 0), (3, "1.10", "b", "q", None, 0), (4, "1.2", "b", " q  q", None, 0), (5, "1.10", "b", "q q", "", 0), (6, None, "z", "", "", 0), (7, "1.2", None, "", "", 0), (8, "2", "a", "new", "{bad", 0))
     assert run(one) == [("1.10", "2", "a", "changed"), ("1.10", "2", "b", "removed")]
     assert run(one.limit(0)) == [] and run(one.where("id = 1")) == []
+
+
+def test_p6_chunks(spark):
+    """Repeats, gaps between versions and many keys, against brute force; few changed rows leave few chunks to look into."""
+    import random
+
+    rng = random.Random(4)
+    state, all_rows, want, n = {f"k{i}": 0 for i in range(3000)}, [], set(), 0
+    before = None
+    for v in range(4):
+        for k in rng.sample(sorted(state), 20):
+            if rng.random() < 0.5:
+                state.pop(k)
+            else:
+                state[k] += 1
+        state |= {f"new{v}_{i}": 0 for i in range(10)}
+        for k, x in state.items():
+            if rng.random() < 0.01:  # an older delivery with another content
+                all_rows.append((n, f"1.{v}", k, str(rng.randint(5, 9))))
+                n += 1
+            all_rows.append((n, f"1.{v}", k, str(x)))
+            n += 1
+        if before is not None:
+            want |= {(f"1.{v - 1}", f"1.{v}", k, "added" if k not in before else "removed" if k not in state else "changed") for k in before.keys() | state.keys() if before.get(k) != state.get(k)}
+        before = dict(state)
+    rng.shuffle(all_rows)
+    df = spark.createDataFrame(all_rows, "id long, v string, k string, t string")
+    assert tuples(snapshots.snapshot_changes(df, "v", "k", ("id",), ("t",)), "version_from", "version_to", "k", "change") == sorted(want)
+    narrow = df.selectExpr("CAST(substring(v, 3) AS INT) AS v", "k", "CAST(t AS BINARY) AS d").dropDuplicates(["v", "k"])
+    need = snapshots.unmatched_chunks(snapshots.chunk_digests(narrow, 8), 3)
+    assert 0 < need.selectExpr("sum(size(pairs))").first()[0] < 0.75 * 3 * 256
+
+
+def test_p6_digest_moves_little(spark):
+    """An unchanged snapshot moves no row at all; one changed row moves its chunk only."""
+    a = spark.range(4000).selectExpr("id", "'1' AS v", "concat('k', id) AS k", "'x' AS t")
+    b = a.selectExpr("id + 4000 AS id", "'2' AS v", "k", "if(k = 'k7', 'y', t) AS t")
+    narrow = a.unionByName(b).selectExpr("CAST(v AS INT) - 1 AS v", "k", "CAST(t AS BINARY) AS d")
+    need = snapshots.unmatched_chunks(snapshots.chunk_digests(narrow.where("k <> 'k7'"), 9), 1).where("size(repeats) = 0")
+    assert need.count() == 0
+    assert tuples(snapshots.snapshot_changes(a.unionByName(b), "v", "k", ("id",), ("t",)), "k", "change") == [("k7", "changed")]
