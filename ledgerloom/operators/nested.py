@@ -112,42 +112,39 @@ def field_tree(df: DataFrame, key: str, text: str) -> DataFrame:
     return staged.select("rec_id", F.transform(entries(F.col("v")), field).alias("tree"))
 
 
+def field_rows() -> dict[str, Column]:
+    """Rows of the tables ``fields`` and ``attributes`` as arrays over ``tree``, with the ids of their ancestors."""
+    return {
+        "fields": F.transform("tree", lambda f: F.struct(f["idx"].alias("field_idx"), f["name"].alias("name"), f["kind"].alias("kind"), f["data_type"].alias("data_type"))),
+        "attributes": F.flatten(
+            F.transform(
+                "tree",
+                lambda f: F.transform(
+                    f["attrs"],
+                    lambda a: F.struct(f["idx"].alias("field_idx"), a["idx"].alias("attr_idx"), f["name"].alias("field_name"), a["name"].alias("name"), a["data_type"].alias("data_type")),
+                ),
+            )
+        ),
+    }
+
+
 def flatten_fields(df: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
     """Tables ``fields`` (rec_id, field_idx, name, kind, data_type) and ``attributes`` (rec_id, field_idx, attr_idx,
     field_name, name, data_type); (rec_id, field_idx) is the parent link."""
     tree = field_tree(df, key, text)
-    fields = tree.select(
-        "rec_id",
-        F.inline(F.transform("tree", lambda f: F.struct(f["idx"].alias("field_idx"), f["name"].alias("name"), f["kind"].alias("kind"), f["data_type"].alias("data_type")))),
-    )
-    attributes = tree.select(
-        "rec_id",
-        F.inline(
-            F.flatten(
-                F.transform(
-                    "tree",
-                    lambda f: F.transform(
-                        f["attrs"],
-                        lambda a: F.struct(
-                            f["idx"].alias("field_idx"), a["idx"].alias("attr_idx"), f["name"].alias("field_name"), a["name"].alias("name"), a["data_type"].alias("data_type")
-                        ),
-                    ),
-                )
-            )
-        ),
-    )
-    return {"fields": fields, "attributes": attributes}
+    return {k: tree.select("rec_id", F.inline(v)) for k, v in field_rows().items()}
+
+
+def _emit_paths(df: DataFrame, *levels: Column) -> DataFrame:
+    """rec_id, path: the different paths of a record's flat rows, all levels in one ``inline``."""
+    paths = F.array_distinct(F.filter(F.concat(*levels), lambda p: p.isNotNull()))
+    return df.select("rec_id", F.inline(F.transform(paths, lambda p: F.struct(p.alias("path")))))
 
 
 def field_paths(df: DataFrame, key: str, text: str) -> DataFrame:
-    """rec_id, path: one row per field and per attribute (``field/attribute``), in one pass over the records."""
-    paths = F.flatten(
-        F.transform(
-            "tree",
-            lambda f: F.concat(F.array(f["name"]), F.transform(f["attrs"], lambda a: F.concat(f["name"], F.lit("/"), a["name"]))),
-        )
-    )
-    return field_tree(df, key, text).select("rec_id", F.explode(F.array_distinct(F.filter(paths, lambda p: p.isNotNull()))).alias("path"))
+    """rec_id, path of the rows of ``fields`` and ``attributes`` (``field/attribute``)."""
+    rows = field_rows()
+    return _emit_paths(field_tree(df, key, text), F.transform(rows["fields"], lambda r: r["name"]), F.transform(rows["attributes"], lambda r: F.concat(r["field_name"], F.lit("/"), r["name"])))
 
 
 def _indexed(xs: Column, has: str | None = None) -> Column:
@@ -156,14 +153,8 @@ def _indexed(xs: Column, has: str | None = None) -> Column:
     return F.filter(pairs, lambda p: p["x"].isNotNull() if has is None else p["x"].isNotNull() & p["x"][has].isNotNull())
 
 
-def flatten_borrowed(df: DataFrame, key: str, column: str) -> dict[str, DataFrame]:
-    """Tables ``objects``, ``children`` and ``attributes`` of an array of borrowed objects.
-
-    (rec_id, object_idx) links children to objects, (rec_id, object_idx, child_idx) attributes to children.  Null
-    elements at any level give no row but keep their place in the count of indices.
-    """
-    base = df.select(F.col(key).alias("rec_id"), F.col(column).alias("o")).where("o IS NOT NULL")
-    scalars = [f.name for f in df.schema[column].dataType.elementType.fields if f.name != "child_objects"]
+def borrowed_rows(scalars: list[str]) -> dict[str, Column]:
+    """Rows of the tables ``objects``, ``children`` and ``attributes`` as arrays over ``o``, with the ids of their ancestors."""
     objects = F.transform(_indexed(F.col("o")), lambda o: F.struct(o["i"].alias("object_idx"), *(o["x"][n].alias(n) for n in scalars)))
     children = F.flatten(
         F.transform(
@@ -198,36 +189,31 @@ def flatten_borrowed(df: DataFrame, key: str, column: str) -> dict[str, DataFram
             )
         )
     )
-    return {k: base.select("rec_id", F.inline(v)) for k, v in {"objects": objects, "children": children, "attributes": attributes}.items()}
+    return {"objects": objects, "children": children, "attributes": attributes}
+
+
+def flatten_borrowed(df: DataFrame, key: str, column: str) -> dict[str, DataFrame]:
+    """Tables ``objects``, ``children`` and ``attributes`` of an array of borrowed objects.
+
+    (rec_id, object_idx) links children to objects, (rec_id, object_idx, child_idx) attributes to children.  Null
+    elements at any level give no row but keep their place in the count of indices.
+    """
+    base, rows = _borrowed(df, key, column)
+    return {k: base.select("rec_id", F.inline(v)) for k, v in rows.items()}
+
+
+def _borrowed(df: DataFrame, key: str, column: str) -> tuple[DataFrame, dict[str, Column]]:
+    scalars = [f.name for f in df.schema[column].dataType.elementType.fields if f.name != "child_objects"]
+    return df.select(F.col(key).alias("rec_id"), F.col(column).alias("o")).where("o IS NOT NULL"), borrowed_rows(scalars)
 
 
 def borrowed_paths(df: DataFrame, key: str, column: str) -> DataFrame:
-    """rec_id, path: objects, ``object/child`` and ``object/child/attribute``, in one pass over the records."""
-    paths = F.flatten(
-        F.transform(
-            _indexed(F.col("o")),
-            lambda o: F.concat(
-                F.array(o["x"]["object_ref"]),
-                F.flatten(
-                    F.transform(
-                        _indexed(F.coalesce(o["x"]["child_objects"], F.filter(F.col("none"), lambda _: F.lit(False)))),
-                        lambda c: F.concat(
-                            F.array(F.concat(o["x"]["object_ref"], F.lit("/"), c["x"]["name"])),
-                            F.transform(
-                                _indexed(F.coalesce(c["x"]["attributes"], F.col("bare"))),
-                                lambda a: F.concat(o["x"]["object_ref"], F.lit("/"), c["x"]["name"], F.lit("/"), a["x"]["name"]),
-                            ),
-                        ),
-                    )
-                ),
-            ),
-        )
-    )
-    kind = df.schema[column].dataType.elementType["child_objects"].dataType
-    empty = F.from_json(F.lit("[]"), kind)
-    bare = F.from_json(F.lit("[]"), kind.elementType["attributes"].dataType)
-    return (
-        df.select(F.col(key).alias("rec_id"), F.col(column).alias("o"), empty.alias("none"), bare.alias("bare"))
-        .where("o IS NOT NULL")
-        .select("rec_id", F.explode(F.array_distinct(F.filter(paths, lambda p: p.isNotNull()))).alias("path"))
+    """rec_id, path of the rows of ``objects``, ``children`` (``object/child``) and ``attributes``
+    (``object/child/attribute``)."""
+    base, rows = _borrowed(df, key, column)
+    return _emit_paths(
+        base,
+        F.transform(rows["objects"], lambda r: r["object_ref"]),
+        F.transform(rows["children"], lambda r: F.concat(r["object_ref"], F.lit("/"), r["name"])),
+        F.transform(rows["attributes"], lambda r: F.concat(r["object_ref"], F.lit("/"), r["child_name"], F.lit("/"), r["name"])),
     )

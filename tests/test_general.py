@@ -216,6 +216,40 @@ def test_p3_cases(spark):
     assert {r.k: r["count"] for r in packed.packed_values(long, "text", "k").groupBy("k").count().collect()} == {1: 60_000, 2: 1, 3: 1}
 
 
+def test_p3_nested(spark):
+    deep = lambda n: "сервер " + "(а, " * n + "б" + ", в)" * n
+    cases = {
+        "Сервер (а (б (в, г), д), е), Клиент": ["сервер (а (б (в, г), д), е)", "клиент"],
+        "тонкий [х, у] клиент, веб": ["тонкий [х, у] клиент", "веб"],
+        '[толстый [а [б, в], г] клиент], ["x, y", z]': ["толстый [а [б, в], г] клиент", "x, y", "z"],
+        deep(5) + ", клиент": [deep(5), "клиент"],
+        deep(9) + ", клиент": [deep(9), "клиент"],
+        deep(400) + "; \"кл\"\"иент\"": [deep(400), 'кл"иент'],
+        "((((((((а, б), в": ["((((((((а, б)", "в"],
+    }
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(cases)], "k long, text string, note string")
+    got = defaultdict(list)
+    for r in sorted(packed.packed_values(df, "text", "k", "note").collect(), key=lambda r: r.pos):
+        got[r.k].append(r.item)
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_p3_parser_agrees(spark, data):
+    """The expression on the JVM and the parser for deep texts give the same for whatever both can read."""
+    import random
+
+    rng = random.Random(9)
+    texts = sorted({r["availability"] for r in rows(data, "methods") if r["availability"]} | {r["available_in"] for r in rows(data, "context_violations") if r["available_in"]})
+    texts += ["".join(rng.choice(["а", "Б ", " и ", ",", ";", "|", '"', '""', "«", "»", "(", ")", "[", "]", "\\", ".", " ", "\n", "'", "or "]) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    texts = [t for t in texts if t.count("(") + t.count("[") <= packed.LEVELS]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = defaultdict(list)
+    for r in sorted(packed.packed_values(df, "text", "k").collect(), key=lambda r: r.pos):
+        got[r.k].append((r.item, r.error))
+    wrong = [(t, got[i], packed.parse(t)) for i, t in enumerate(texts) if got[i] != packed.parse(t)]
+    assert not wrong, wrong[:5]
+
+
 def test_p4(spark, data):
     want = set()
     for r in rows(data, "config_objects"):
