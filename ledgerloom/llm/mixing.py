@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-Documents are put into ``blocks`` per source by a hash of their id: a block is a random part of its source, and a source
+The number of output shards follows from the total size (``shard_size`` tokens each), the number of blocks from the number
+of shards.  Documents are put into blocks per source by a hash of their id: a block is a random part of its source, and a source
 that holds a third of all rows is as many blocks as any other.  Only the blocks' token sums (sources x blocks numbers)
 reach the driver.  There the total is set: the largest one for which every source can give its share with no document used
 more than ``max_repeats`` times.  A source's quota is so many full passes over its blocks and, of one more pass, whole
@@ -29,6 +30,8 @@ from pyspark.sql.window import Window
 from ledgerloom.session import checkpointed
 
 MAX_SOURCES = 10_000
+#: blocks of all sources together, whose sums reach the driver; and units of the plan that are broadcast at most
+MOST_BLOCKS, MOST_BROADCAST = 2_000_000, 200_000
 
 
 @dataclass
@@ -89,7 +92,7 @@ def deal(units: list[Unit], shards: int, rng: np.random.Generator) -> list[tuple
     return out
 
 
-def mix(docs: DataFrame, weights: DataFrame, key: str, source: str, size: str, shards: int = 16, blocks: int = 256, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame, key: str, source: str, size: str, shards: int | None = None, blocks: int | None = None, seed: int = 1, shard_size: int = 500_000) -> DataFrame:
     """shard, order_key, key, source, copy, size: the mixture; ``order_key`` is the random order inside a shard.
 
     ``docs`` holds the sizes (column ``size``, bigint); it is read twice, so it should be written or checkpointed.
@@ -99,6 +102,10 @@ def mix(docs: DataFrame, weights: DataFrame, key: str, source: str, size: str, s
         raise ValueError(f"more than {MAX_SOURCES} sources")
     shares = {r.s: r.target_share for r in rows if r.s is not None and r.target_share and math.isfinite(r.target_share) and r.target_share > 0}
     repeats = {r.s: r.max_repeats for r in rows if r.max_repeats and r.max_repeats > 0}
+    if shards is None:
+        shards = max(1, min(50_000, round((docs.agg(F.sum(size)).first()[0] or 0) / shard_size)))
+    if blocks is None:  # several units of every source for every shard
+        blocks = max(256, min(8 * shards, MOST_BLOCKS // max(len(shares), 1)))
     blocked = docs.select(
         key,
         normal_source(F.col(source)).alias("source"),
@@ -111,13 +118,13 @@ def mix(docs: DataFrame, weights: DataFrame, key: str, source: str, size: str, s
     rng = np.random.default_rng(seed)
     units = deal(plan_units(sizes, shares, repeats, rng), shards, rng) if sizes else []
     plan = docs.sparkSession.createDataFrame(units, "source string, copy int, block int, cut long, shard int")
-    drawn = blocked.join(F.broadcast(plan), ["source", "block"])  # at most sources x passes x blocks rows
+    drawn = blocked.join(F.broadcast(plan) if len(units) <= MOST_BROADCAST else plan, ["source", "block"])
     cut_at = Window.partitionBy("source", "copy", "block").orderBy("rank", key).rowsBetween(Window.unboundedPreceding, 0)
     parts = drawn.where("cut IS NOT NULL").withColumn("rank", F.xxhash64(F.lit(seed + 1), key, "copy"))
     parts = parts.withColumn("upto", F.sum("n_tokens").over(cut_at)).where("upto - n_tokens / 2 <= cut").drop("rank", "upto")
     mixed = drawn.where("cut IS NULL").unionByName(parts)
     order = F.xxhash64(F.lit(seed + 2), key, "copy").alias("order_key")
-    return mixed.select("shard", order, key, "source", "copy", "n_tokens").repartition(shards, "shard").sortWithinPartitions("shard", "order_key")
+    return mixed.select("shard", order, key, "source", "copy", "n_tokens").repartitionById(shards, "shard").sortWithinPartitions("shard", "order_key")
 
 
 def reached_shares(mixed: DataFrame, weights: DataFrame) -> DataFrame:

@@ -6,17 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import docpairs, langid, mixing, secrets, tokens
-from ledgerloom.session import table
+from ledgerloom.session import spread, table
 
 VOCABULARY = "byte_bpe_50k"
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Rows over all cores where the table has fewer files than the cluster cores: Python work outweighs the exchange."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * per_core)
-
-
 def _p1(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return (
         docpairs.catalogue_pairs(spread(table(spark, d, "methods").select("id", "name_ru", "name_en", "syntax", "description", "params_json"))),
@@ -33,16 +27,36 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Code and description of every documented method, own (depth 0) or inherited."""
+    """Code and description of every documented method, own (depth 0) or inherited: from the catalogue, from source modules
+    and from extensions, whose methods inherit from those they are hung on."""
     catalogue, source = _p1(spark, d)
-    paths = table(spark, d, "bsl_modules").select(F.col("module_id").alias("rec_id"), F.element_at(F.split("module_path", r"\."), 2).alias("module"))
-    node = F.lower(F.concat_ws(".", "module", "method_name"))
-    methods = source.join(paths, "rec_id").withColumn("node", node).withColumn("parent", F.lower("overrides")).withColumn("doc", F.when(F.col("words") >= docpairs.MIN_WORDS, F.col("doc")))
-    own = methods.where("doc IS NOT NULL").select(F.lit("bsl_modules").alias("origin"), "rec_id", "method_name", "code", F.col("doc").alias("description"), F.lit(0).alias("depth"))
-    heirs = docpairs.resolve_inherited(docpairs.one_per_node(methods.where("node IS NOT NULL").select("node", "parent", "doc", "rec_id", "line_no"))).where("depth > 0")
-    inherited = methods.where("doc IS NULL").drop("doc").join(heirs, "node").select(F.lit("bsl_modules").alias("origin"), "rec_id", "method_name", "code", F.col("doc").alias("description"), "depth")
+    patches = docpairs.source_pairs(spread(table(spark, d, "cfe_patches").select("patch_id", "bsl_content")), "patch_id", "bsl_content")
+    placed = lambda df, origin, name, key: df.join(table(spark, d, name).select(F.col(key).alias("rec_id"), "module_path"), "rec_id").withColumn("origin", F.lit(origin))
+    methods = placed(source, "bsl_modules", "bsl_modules", "module_id").unionByName(placed(patches, "cfe_patches", "cfe_patches", "patch_id"))
+    named = lambda c: F.lower(F.concat_ws(".", F.element_at(F.split("module_path", r"\."), 2), c))
+    own = F.lower(F.concat_ws(".", "module_path", "method_name"))
+    methods = methods.select(
+        "origin", "rec_id", "method_name", "line_no", "code", F.when(F.col("words") >= docpairs.MIN_WORDS, F.col("doc")).alias("doc"),
+        F.when(F.col("origin") == "cfe_patches", F.concat(F.lit("cfe:"), F.col("rec_id").cast("string"), F.lit(":"), own)).otherwise(own).alias("node"),
+        F.when(F.col("extends").isNotNull(), F.lower(F.concat_ws(".", "module_path", "extends"))).alias("above"), named("method_name").alias("short"), F.lower("overrides").alias("seen"),
+    )
+    unique = docpairs.one_per_node(methods.where("node IS NOT NULL"))
+    shorts = docpairs.one_per_node(methods.where("origin = 'bsl_modules'").select(F.col("short").alias("node"), F.col("node").alias("full"), "doc", "rec_id", "line_no")).select(F.col("node").alias("seen"), F.col("full").alias("referred"))
+    linked = unique.join(shorts, "seen", "left").select("node", F.coalesce("above", "referred").alias("parent"), "doc")
+    heirs = docpairs.resolve_inherited(linked).where("depth > 0")
+    out = ["origin", "rec_id", "method_name", "code"]
+    with_own = methods.where("doc IS NOT NULL").select(*out, F.col("doc").alias("description"), F.lit(0).alias("depth"))
+    inherited = methods.where("doc IS NULL").drop("doc").join(heirs, "node").select(*out, F.col("doc").alias("description"), "depth")
     listed = catalogue.where(F.col("words") >= docpairs.MIN_WORDS).select(F.lit("methods").alias("origin"), "rec_id", "method_name", "code", F.col("doc").alias("description"), F.lit(0).alias("depth"))
-    return listed.unionByName(own).unionByName(inherited)
+    return listed.unionByName(with_own).unionByName(inherited)
+
+
+def p1_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Documentation tags of the methods of source modules: one row per described parameter, returned value and so on."""
+    source = docpairs.source_pairs(spread(table(spark, d, "bsl_modules").select("module_id", "bsl_code")), "module_id", "bsl_code", tags=True).where("tags IS NOT NULL")
+    tags = F.map_filter(F.from_json("tags", "map<string,string>"), lambda k, v: k != "params")
+    params = F.transform_keys(F.coalesce(F.from_json(F.get_json_object("tags", "$.params"), "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: F.concat(F.lit("param "), k))
+    return source.select("rec_id", "method_name", "line_no", F.explode(F.map_concat(tags, params)).alias("tag", "text"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,4 +115,4 @@ def p9_labels(spark: SparkSession, d: str) -> DataFrame:
     return every.join(found, "doc_id", "left").select("doc_id", "start", "stop", "lang", "confidence", "n_sentences", "doc_lang", "doc_confidence")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p5_found, p5_redacted, p7_ids, p8_mix, p8_shares, p9_found, p9_labels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p1_tags, p5_found, p5_redacted, p7_ids, p8_mix, p8_shares, p9_found, p9_labels)}

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import docpairs, langid, mixing, queries, secrets, tokens
 from ledgerloom.llm.sentences import sentences
@@ -50,6 +51,36 @@ def test_p1_inherited(spark):
     assert sorted(map(tuple, docpairs.resolve_inherited(df).collect())) == [("a", "doc", 2), ("b", "doc", 1), ("c", "doc", 0)]
 
 
+def test_p1_long_chain_and_signature(spark):
+    df = spark.createDataFrame([(f"n{i}", f"n{i + 1}", None if i < 40 else "doc") for i in range(41)], "node string, parent string, doc string")
+    assert {(r.node, r.depth) for r in docpairs.resolve_inherited(df).collect()} == {(f"n{i}", 40 - i) for i in range(41)}
+    assert docpairs.resolve_inherited(df.limit(0)).count() == 0
+    names = [f"Ставка{chr(1040 + i)}" for i in range(20)]
+    code = "// " + " ".join(names) + "\nПроцедура А(\n" + "\n".join(f"\tЗнач {n} = \")\"{',' if n != names[-1] else ''} // , (" for n in names) + "\n) Экспорт\nКонецПроцедуры"
+    (f,) = docpairs.functions_of(code)
+    assert f["words"] == 0 and docpairs.parameter_names(docpairs.header_of(code.split("\n"), 1, 30)) == tuple(names)
+
+
+def test_p1_tags_and_hierarchy():
+    block = ["Считает остаток товара.", "По всем складам.", "Параметры:", " Товар - СправочникСсылка.Товары - что считать", "       и за какой день", " Дата - Дата", "Возвращаемое значение:", " Число - остаток", "@see Склад.Остаток", "@param Склад где считать"]
+    tags = docpairs.doc_tags(block)
+    assert tags == {"description": "Считает остаток товара. По всем складам.", "params": {"Товар": "СправочникСсылка.Товары - что считать и за какой день", "Дата": "Дата", "Склад": "где считать"}, "returns": "Число - остаток", "see": "Склад.Остаток"}
+    assert docpairs.doc_tags([]) == {}
+    (f,) = docpairs.functions_of('// {@inheritDoc Склад.Остаток}\n&НаСервере\n&Вместо("Остаток")\nФункция Расш_Остаток()\nКонецФункции')
+    assert (f["extends"], f["overrides"]) == ("Остаток", "Склад.Остаток")
+
+
+def test_p1_extension_inherits(spark, tmp_path):
+    """A method of an extension without documentation has that of the method it is hung on."""
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write("methods", [], "id long, name_ru string, name_en string, syntax string, description string, params_json string")
+    write("bsl_modules", [(1, "Catalog.Товары.ManagerModule", "// Считает остатки товаров на складе быстро.\nФункция Остаток()\nКонецФункции"), (2, None, None), (3, "Catalog.Склад.ObjectModule", "// См. Товары.Остаток\nФункция Итог()\nКонецФункции")], "module_id long, module_path string, bsl_code string")
+    write("cfe_patches", [(1, "Catalog.Товары.ManagerModule", '&Вместо("Остаток")\nФункция Расш_Остаток()\nКонецФункции'), (2, "Catalog.Нет.ManagerModule", '&После("Остаток")\nПроцедура П()\nКонецПроцедуры')], "patch_id long, module_path string, bsl_content string")
+    got = {(r.origin, r.rec_id, r.depth, r.description) for r in queries.p1_pairs(spark, str(tmp_path)).collect()}
+    text = "Считает остатки товаров на складе быстро."
+    assert got == {("bsl_modules", 1, 0, text), ("bsl_modules", 3, 1, text), ("cfe_patches", 1, 1, text)}
+
+
 def test_p1_queries(spark, data):
     found = {tuple(r) for r in queries.p1_found(spark, data).collect()}
     for r in rows(data, "methods", "id", "syntax", "description", "name_ru", "name_en", "params_json"):
@@ -224,6 +255,15 @@ def test_p8_mix(spark):
     assert mixing.mix(df.limit(0), weights, "doc_id", "source", "n_tokens").count() == 0 and mixing.mix(df, weights.limit(0), "doc_id", "source", "n_tokens").count() == 0
 
 
+def test_p8_shards_follow_the_size(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'a', 'b') AS source", "CAST(100 AS BIGINT) AS n_tokens")
+    weights = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mixed = mixing.mix(df, weights, "doc_id", "source", "n_tokens", shard_size=20_000)
+    at = mixed.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(at) == 20 and all(r.shard == r.p for r in at)  # every shard is a task of its own
+    assert mixing.mix(df, weights, "doc_id", "source", "n_tokens").select("shard").distinct().count() == 1
+
+
 def test_p8_queries(spark, data):
     r = {x.source: x for x in queries.p8_shares(spark, data).collect()}
     assert len(r) == 8 and abs(sum(x.share for x in r.values()) - 1) < 1e-9
