@@ -1,19 +1,23 @@
-"""Full-text, fuzzy and vector search, and fusion of ranked lists.
+"""Full-text, fuzzy and vector search, lookups in catalogues, and fusion of ranked lists.
 
-An index is three tables (postings, document lengths, totals); a search is a join of the query's few terms with the
-postings, a sum per document and a top-k.  Terms that occur everywhere cost no skew: the sum has map-side combine.
+A ``TextIndex`` is two stored tables, postings (sorted by term, with the term's document frequency) and documents (length
+and vector norm), and two totals; a search reads the postings of the query's few terms and joins the documents they name.
+Without an index, one scan counts the query's terms per document.  Terms that occur everywhere cost no skew: the sums have
+map-side combine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import trigrams_column
+from ledgerloom.functions.text import trigrams_column, version_parts
+from ledgerloom.session import stored
 
 K1, B = 1.5, 0.75
 
@@ -33,7 +37,7 @@ def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
 
 
 def _count_of(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def bm25(docs: DataFrame, key: str, words: Column, query: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
@@ -42,7 +46,10 @@ def bm25(docs: DataFrame, key: str, words: Column, query: Sequence[str], k1: flo
     The scan counts the query's terms per document without exploding all words; totals come from one more narrow pass.
     """
     terms = sorted(set(query))
-    counted = docs.select(key, F.size(words).cast("bigint").alias("len"), *(_count_of(words, t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    counted = docs.select(F.col(key), words.alias("__words"))
+    words = F.col("__words")
+    counted = counted.select(key, F.size(words).cast("bigint").alias("len"), *(_count_of(words, t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    counted = stored(counted)  # a few numbers per document, read twice
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest("len", F.lit(0))).alias("avg_len"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))))
     joined = counted.join(F.broadcast(stats))  # one row
     norm = (1 - b) + b * (F.col("len") / F.greatest("avg_len", F.lit(1.0)))
@@ -53,18 +60,51 @@ def bm25(docs: DataFrame, key: str, words: Column, query: Sequence[str], k1: flo
     return joined.select(key, score.alias("score")).where("score > 0")
 
 
+@dataclass
+class TextIndex:
+    key: str
+    postings: DataFrame  # term, key, tf, df
+    docs: DataFrame  # key, len, norm (of the TF-IDF vector)
+    n: int
+    avg_len: float
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str, words: Column) -> TextIndex:
+        """Index of all documents; null texts have no words but count as documents."""
+        post = postings(docs, key, F.coalesce(words, F.array().cast("array<string>")))
+        frequency = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        n = docs.count()
+        held = stored(post.join(frequency, "term").sortWithinPartitions("term"))
+        idf = F.ln(F.lit(n) / F.col("df"))
+        sizes = stored(held.groupBy(key).agg(F.sum("tf").alias("len"), F.sqrt(F.sum(F.pow(F.col("tf") * idf, 2))).alias("norm")))
+        total = sizes.agg(F.sum("len")).first()[0] or 0
+        return cls(key, held, sizes, n, total / n if n else 0.0)
+
+    def _hits(self, query: Sequence[str]) -> DataFrame:
+        return self.postings.where(F.col("term").isin(sorted(set(query))))
+
+    def bm25(self, query: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
+        """key, score of every document that holds a query term; repeated query terms count once."""
+        norm = (1 - b) + b * (F.col("len") / max(self.avg_len, 1.0))
+        idf = F.ln(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * norm)
+        return self._hits(query).join(self.docs, self.key).groupBy(self.key).agg(F.sum(part).alias("score"))
+
+    def tfidf(self, query: Sequence[str]) -> DataFrame:
+        """key, score: cosine of L2-normalised tf * ln(N/df) vectors."""
+        times = {t: list(query).count(t) for t in query}
+        hits = self._hits(query)
+        idf = F.ln(F.lit(self.n) / F.col("df"))
+        weight = F.try_element_at(F.create_map(*(F.lit(x) for kv in times.items() for x in kv)), F.col("term")) * idf
+        asked = hits.groupBy("term").agg(F.first(weight).alias("w")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))  # one row
+        dots = hits.groupBy(self.key).agg(F.sum(F.col("tf") * idf * weight).alias("dot"))
+        scored = dots.join(self.docs, self.key).join(F.broadcast(asked)).where("norm > 0 AND qnorm > 0")
+        return scored.select(self.key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score")).where("score > 0")
+
+
 def tfidf(docs: DataFrame, key: str, words: Column, query: Sequence[str]) -> DataFrame:
-    """key, score: cosine of L2-normalised tf * ln(N/df) vectors."""
-    post = postings(docs, key, words)
-    n = docs.count()
-    idf = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.ln(F.lit(n) / F.col("df")))
-    weighted = post.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = docs.sparkSession.createDataFrame([(t, list(query).count(t)) for t in sorted(set(query))], "term string, qtf long")
-    q = idf.join(F.broadcast(asked), "term").withColumn("qw", F.col("qtf") * F.col("idf"))
-    qnorm = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = weighted.join(F.broadcast(q.select("term", "qw")), "term").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dots.join(norms, key).join(F.broadcast(qnorm)).select(key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score")).where("score > 0")
+    """One TF-IDF search over an index of its own."""
+    return TextIndex.build(docs, key, words).tfidf(query)
 
 
 def trigram_jaccard(docs: DataFrame, key: str, name: Column, query: str) -> DataFrame:
@@ -85,15 +125,19 @@ def blend(text: DataFrame, fuzzy: DataFrame, key: str, weight: float = 0.75) ->
     return both.join(F.broadcast(top_f)).select(key, F.round(score, 4).alias("score"))
 
 
-def cosine_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 1024, chunks: int = 32) -> DataFrame:
+def cosine_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 20_000, chunk: int = 50_000) -> DataFrame:
     """query, key, score, rank of the k nearest rows of every query, exactly, in blocks of queries against chunks of rows.
 
-    Each task multiplies one block with one chunk and keeps k per query, so what is shuffled is k rows per query and chunk.
+    The numbers of blocks and chunks follow from the numbers of rows, so a task holds at most about ``block`` queries and
+    ``chunk`` rows at any scale.  It multiplies them piece by piece and keeps k per query, so what is shuffled on is k rows
+    per query and chunk.  Null vectors are left out; equal scores are ranked by the key.
     """
-    blocks = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("h"))
-    n_blocks = max(1, -(-queries.count() // block))
-    blocks = blocks.withColumn("blk", F.pmod("h", F.lit(n_blocks)).cast("int")).drop("h").withColumn("chk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int").alias("chk")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    vectors, queries = vectors.where(F.col(vector).isNotNull()), queries.where(F.col(vector).isNotNull())
+    n_blocks, n_chunks = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // chunk))
+    part = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"), part(n_blocks).alias("blk")).withColumn("chk", every(n_chunks))
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"), part(n_chunks).alias("chk")).withColumn("blk", every(n_blocks))
 
     def unit(x: pd.Series) -> np.ndarray:
         m = np.array(x.tolist(), dtype=np.float64)
@@ -102,11 +146,19 @@ def cosine_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k:
     def near(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
             return pd.DataFrame({"query": [], "key": [], "score": []})
-        s = np.round(unit(q["qv"]) @ unit(r["v"]).T, 9)
-        keys, parts = r["key"].to_numpy(), []
-        for i, name in enumerate(q["query"]):
-            best = np.lexsort((keys, -s[i]))[:k]
-            parts.append(pd.DataFrame({"query": name, "key": keys[best], "score": s[i][best]}))
+        r = r.sort_values("key")
+        m, keys, names, parts = unit(r["v"]).T, r["key"].to_numpy(), q["query"].to_numpy(), []
+        qm = unit(q["qv"])
+        for lo in range(0, len(q), 256):
+            s = np.round(qm[lo : lo + 256] @ m, 9)
+            if s.shape[1] > k:  # all that reach the k-th best score, for ties; then by score and key
+                edge = np.partition(s, -k, axis=1)[:, -k]
+                picked = [np.flatnonzero(row >= e) for row, e in zip(s, edge)]
+            else:
+                picked = [np.arange(s.shape[1])] * len(s)
+            for i, at in enumerate(picked):
+                best = at[np.argsort(-s[i][at], kind="stable")[:k]]
+                parts.append(pd.DataFrame({"query": names[lo + i], "key": keys[best], "score": s[i][best]}))
         return pd.concat(parts)
 
     found = blocks.groupBy("blk", "chk").cogroup(rows.groupBy("blk", "chk")).applyInPandas(near, "query long, key long, score double")
@@ -129,9 +181,12 @@ def weighted_fusion(a: DataFrame, b: DataFrame, key: str, alpha: float = 0.5) ->
     return x.join(y, key, "full").select(key, (alpha * F.coalesce("a", F.lit(0.0)) + (1 - alpha) * F.coalesce("b", F.lit(0.0))).alias("score"))
 
 
-def ranked(df: DataFrame, key: str) -> DataFrame:
-    """df (a list of at most a few thousand results) with ``rank`` from 1."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(key))))
+MOST_RANKED = 10_000
+
+
+def ranked(df: DataFrame, key: str, limit: int = MOST_RANKED) -> DataFrame:
+    """The ``limit`` best rows of a result list with ``rank`` from 1: a top-k, so the one task that numbers them is small."""
+    return top(df, "score", key, limit).withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(key))))
 
 
 def rrf(lists: Sequence[DataFrame], key: str, k: int = 60) -> DataFrame:
@@ -190,3 +245,156 @@ def catalogue_search(methods: DataFrame, query: str, limit: int = 10) -> DataFra
     found = methods.select("id", "name_ru", score.alias("score")).where("score IS NOT NULL")
     one = found.groupBy("name_ru").agg(F.max_by(F.struct("id", "score"), F.struct("score", (-F.col("id")).alias("i"))).alias("x")).select("x.id", "name_ru", "x.score")
     return top(one, "score", "id", limit)
+
+
+# -- hybrid search: a text and a vector list of (key, score)
+def hybrid(text: DataFrame, vector: DataFrame, key: str, limit: int = 10, alpha: float = 0.5) -> DataFrame:
+    """key, score, source: weighted fusion of twice ``limit`` rows of each list; the source is where a row scored above 0."""
+    a, b = top(text, "score", key, 2 * limit), top(vector, "score", key, 2 * limit)
+    fused = weighted_fusion(a, b, key, alpha)
+    told = fused.join(min_max(a).withColumnRenamed("score", "a"), key, "left").join(min_max(b).withColumnRenamed("score", "b"), key, "left")
+    source = F.when((F.col("a") > 0) & (F.col("b") > 0), "both").when(F.col("a") > 0, "bm25").when(F.col("b") > 0, "vector").otherwise("none")
+    return top(told.select(key, "score", source.alias("source")), "score", key, limit)
+
+
+def hybrid_auto(text: DataFrame, vector: DataFrame | None, key: str, limit: int = 10) -> DataFrame:
+    """Hybrid search if there is a vector list, else the text list alone (source 'bm25')."""
+    if vector is None:
+        return top(text, "score", key, limit).select(key, "score", F.lit("bm25").alias("source"))
+    return hybrid(text, vector, key, limit)
+
+
+def hybrid_reranked(text: DataFrame, vector: DataFrame, key: str, limit: int = 10, algorithm: str = "rrf", alpha: float = 0.5, k: int = 60, trade: float = 0.7, texts: DataFrame | None = None) -> DataFrame:
+    """key, score, bm25_score, vector_score (as they were), source: twice ``limit`` rows of each list, reranked by ``rrf``,
+    ``weighted``, ``combsum``, ``combmnz`` or ``mmr`` (which needs ``texts``: key, text)."""
+    a, b = top(text, "score", key, 2 * limit), top(vector, "score", key, 2 * limit)
+    if algorithm == "rrf":
+        fused = rrf([a, b], key, k)
+    elif algorithm == "weighted":
+        fused = weighted_fusion(a, b, key, alpha)
+    elif algorithm in ("combsum", "combmnz"):
+        fused = comb([a, b], key, mnz=algorithm == "combmnz")
+    elif algorithm == "mmr" and texts is not None:
+        fused = mmr(rrf([a, b], key, k).join(texts.toDF(key, "text"), key), key, "text", limit, trade).select(key, "score")
+    else:
+        raise ValueError(f"no way to rerank by {algorithm}")
+    told = fused.join(a.withColumnRenamed("score", "bm25_score"), key, "left").join(b.withColumnRenamed("score", "vector_score"), key, "left")
+    source = F.when(F.col("bm25_score").isNotNull() & F.col("vector_score").isNotNull(), "both").when(F.col("bm25_score").isNotNull(), "bm25").otherwise("vector")
+    return top(told.withColumn("source", source), "score", key, limit)
+
+
+def search_auto(index: TextIndex | None, version: int, query: Sequence[str], limit: int = 10) -> DataFrame | None:
+    """By the version of an index: 0 none, 1 TF-IDF, 2 BM25."""
+    if index is None or version == 0:
+        return None
+    return top(index.tfidf(query) if version == 1 else index.bm25(query), "score", index.key, limit)
+
+
+# -- look-ups in a catalogue of methods
+def methods_named(methods: DataFrame, name: str, context: str | None = None) -> DataFrame:
+    """Rows of a name in either language, of one context if it is given (part of the title or category); case counts not."""
+    low, text = F.lit(name.lower()), lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    found = methods.where((text(F.col("name_ru")) == low) | (text(F.col("name_en")) == low))
+    if context is None:
+        return found
+    return found.where(text(F.col("title")).contains(context.lower()) | text(F.col("category")).contains(context.lower()))
+
+
+def methods_named_batch(methods: DataFrame, names: DataFrame) -> DataFrame:
+    """asked and the rows of each of many names: one equi-join on the names of both languages."""
+    spelled = methods.select("*", F.explode(F.array_distinct(F.array(F.lower(F.trim("name_ru")), F.lower(F.trim("name_en"))))).alias("__name")).where("__name IS NOT NULL")
+    return names.select(F.col("name").alias("asked"), F.lower(F.trim("name")).alias("__name")).distinct().join(spelled, "__name").drop("__name")
+
+
+def name_collisions(methods: DataFrame) -> DataFrame:
+    """name, contexts, n: names that stand for methods of several categories."""
+    per = methods.where("name_ru IS NOT NULL AND category IS NOT NULL").groupBy(F.lower(F.trim("name_ru")).alias("name"), F.trim("category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("name").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n")).where("contexts > 1")
+
+
+# fixed values: execution contexts and the words by which an availability text names them
+CONTEXTS = {"server": "сервер", "thin_client": "тонкий клиент", "web_client": "веб-клиент", "thick_client": "толстый клиент", "mobile_client": "мобильный клиент", "external_connection": "внешнее соединение"}
+
+
+def available(context: str) -> Column:
+    """Does the availability text name the context?  A method that says nothing is taken as available."""
+    text = F.lower(F.coalesce("availability", F.lit("")))
+    return (F.trim(text) == "") | text.contains(CONTEXTS[context])
+
+
+def deprecated(version: str | None = None) -> Column:
+    """Is the method deprecated (by the given platform version)?"""
+    since = F.regexp_extract(F.coalesce("version_deprecated", F.lit("")), r"[0-9]+(?:\.[0-9]+)*", 0)
+    return (since != "") if version is None else (since != "") & (version_parts(since) <= version_parts(F.lit(version)))
+
+
+def since(version: str) -> Column:
+    """Was the method there in a platform version?  Versions compare part by part, missing parts are 0."""
+    own = F.regexp_extract(F.coalesce("version_since", F.lit("")), r"[0-9]+(?:\.[0-9]+)*", 0)
+    pad = lambda v: F.slice(F.concat(version_parts(v), F.array_repeat(F.lit(0), 8)), 1, 8)
+    return (own == "") | (pad(own) <= pad(F.lit(version)))
+
+
+def safe_methods(methods: DataFrame, contexts: Sequence[str], version: str) -> DataFrame:
+    """Methods that some of the contexts offers, that are not deprecated and were there in the version."""
+    offered = F.lit(False)
+    for c in contexts:
+        offered = offered | available(c)
+    return methods.where(offered & ~deprecated() & since(version))
+
+
+def alternatives(methods: DataFrame, name: str, contexts: Sequence[str], limit: int = 5) -> DataFrame:
+    """id, name_ru, score: other methods with a like name that one of the contexts offers."""
+    offered = F.lit(False)
+    for c in contexts:
+        offered = offered | F.lower(F.coalesce("availability", F.lit(""))).contains(CONTEXTS[c])
+    others = methods.where(offered & (F.lower(F.trim(F.coalesce("name_ru", F.lit("")))) != name.lower()) & (F.lower(F.trim(F.coalesce("name_en", F.lit("")))) != name.lower()))
+    one = trigram_jaccard(others, "id", F.col("name_ru"), name).join(others.select("id", "name_ru"), "id")
+    return top(one.groupBy("name_ru").agg(F.min("id").alias("id"), F.max("score").alias("score")), "score", "id", limit).select("id", "name_ru", "score")
+
+
+# -- knowledge base, and all sources at once
+def knowledge(items: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """id, title, score of knowledge-base items (id, title, keywords, content): keywords that the query holds count 10, those
+    that hold the query 5, a title with the query 8, an id 5; only where nothing of that fits, the content counts 3 and 1 for
+    each further hit up to 5."""
+    q = query.lower()
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    words = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.when(F.lit(q).contains(F.lower(k)), 10).when(F.lower(k).contains(q), 5).otherwise(0))
+    named = F.aggregate(words, F.lit(0), lambda a, x: a + x) + F.when(low("title").contains(q), 8).otherwise(0) + F.when(low("id").contains(q), 5).otherwise(0)
+    hits = F.floor((F.length(low("content")) - F.length(F.replace(low("content"), F.lit(q), F.lit("")))) / max(len(q), 1)).cast("int")
+    score = F.when(named > 0, named).when(hits > 0, 3 + F.least(hits - 1, F.lit(5))).otherwise(0)
+    return top(items.select("id", "title", score.alias("score")).where("score > 0"), "score", "id", limit)
+
+
+def holds_words(df: DataFrame, columns: Sequence[str], query: str, limit: int = 5) -> DataFrame:
+    """Rows in which one of the columns holds one of the query's words of two characters or more."""
+    words = sorted({w for w in query.lower().split() if len(w) >= 2})
+    test = F.lit(False)
+    for c in columns:
+        for w in words:
+            test = test | F.lower(F.coalesce(F.col(c), F.lit(""))).contains(w)
+    return df.where(test).orderBy(*columns).limit(limit)
+
+
+# fixed values: names under which a request may ask for a source
+SOURCE_ALIASES = {"best_practices": ("knowledge_base",), "templates": ("knowledge_base",), "bsl_templates": ("knowledge_base",), "security_rules": ("standards",), "query_standards": ("standards", "skd")}
+
+
+def gather(sources: dict[str, DataFrame], wanted: Sequence[str] | None = None) -> tuple[DataFrame | None, list[str]]:
+    """Rows (source, id, title) of the wanted sources, each limited by itself, and the names of those skipped."""
+    asked = set(sources) if wanted is None else {x for w in wanted for x in SOURCE_ALIASES.get(w, (w,))}
+    out = None
+    for name, df in sources.items():
+        if name in asked:
+            part = df.select(F.lit(name).alias("source"), F.col("id").cast("string").alias("id"), "title")
+            out = part if out is None else out.unionByName(part)
+    return out, sorted(set(sources) - asked)
+
+
+def code_index(methods: DataFrame) -> TextIndex:
+    """Index of a configuration's own methods (id, name, body): the name's words count three times."""
+    from ledgerloom.functions.text import stems_column
+
+    body = F.concat_ws(" ", "name", "name", "name", "body")
+    return TextIndex.build(methods.select("id", stems_column(body).alias("__stems")), "id", F.col("__stems"))

@@ -9,7 +9,9 @@ Decisions the language leaves open: a balance at a moment excludes that moment (
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,17 +171,26 @@ def schedule_data(df: DataFrame, schedule: DataFrame, keys: Sequence[str], begin
 
 
 def tasks_by_performer(tasks: DataFrame, addressing: DataFrame, attributes: Sequence[str], performer: str) -> DataFrame:
-    """Tasks with the performers whose addressing row matches; a null attribute of the addressing row matches all."""
-    on = None
-    for a in attributes:
-        test = (tasks[a] == addressing[a]) | addressing[a].isNull()
-        on = test if on is None else on & test
-    return tasks.join(addressing.select(*attributes, performer), on, "inner").drop(*(addressing[a] for a in attributes)).distinct()
+    """Tasks with the performers whose addressing row matches; a null attribute of the addressing row matches all.
 
-
-def with_periods(df: DataFrame, period: str, unit: str, begin: Column, end: Column) -> DataFrame:
-    """All period starts from begin to end (one row each): what gaps are filled from."""
+    Addressing rows are told apart by which of their attributes are null: each kind is an equi-join on the others, and
+    performers without any attribute are handed to every task as one list.
+    """
+    out = None
+    for given in itertools.product((True, False), repeat=len(attributes)):
+        mask = [F.col(a).isNotNull() if g else F.col(a).isNull() for a, g in zip(attributes, given)]
+        rows = addressing.where(reduce(lambda a, b: a & b, mask)) if mask else addressing
+        on = [a for a, g in zip(attributes, given) if g]
+        if on:
+            part = tasks.join(rows.select(*on, performer), on).select(*tasks.columns, performer)
+        else:
+            part = tasks.select("*", F.explode(rows.select(F.collect_set(performer)).scalar()).alias(performer))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def period_starts(unit: str, begin: Column, end: Column) -> Column:
+    """All period starts from begin to end, as an array: what gaps are filled from."""
     step = {"TENDAYS": "1 day", "HALFYEAR": "6 months", "QUARTER": "3 months", "WEEK": "7 days"}.get(unit, f"1 {unit.lower()}")
-    days = df.sparkSession.range(1).select(F.explode(F.sequence(begin_of_period(begin, unit), end, F.expr(f"interval {step}"))).alias(period))
-    return days.select(begin_of_period(F.col(period), unit).alias(period)).distinct()
-
+    days = F.sequence(begin_of_period(begin, unit), end, F.expr(f"interval {step}"))
+    return F.array_distinct(F.transform(days, lambda d: begin_of_period(d, unit)))

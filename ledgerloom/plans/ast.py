@@ -99,6 +99,14 @@ class Scalar:
     query: Any
 
 
+@dataclass
+class Nested:
+    """A tabular section as a column: ``Table.Section.(fields)``."""
+
+    parts: list[str]
+    fields: list
+
+
 @dataclass
 class Field:
     expr: Any

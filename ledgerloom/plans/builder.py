@@ -22,6 +22,7 @@ from ledgerloom.operators import virtual_tables as vt
 from ledgerloom.plans import ast
 from ledgerloom.plans.catalog import KINDS, VIRTUAL, Catalog, TableDef
 from ledgerloom.plans.parser import AGGREGATES, parse
+from ledgerloom.session import checkpointed
 
 SELF = ("ref", "ссылка")
 # fixed values: endings of virtual-table columns, English and Russian
@@ -107,11 +108,11 @@ class QueryBuilder:
         self.engine, self.params, self.temps, self.outer = engine, params, temps, outer
 
     def query(self, q: ast.Query) -> DataFrame:
+        b = SelectBuilder(self, q.branches[0][1])
         if len(q.branches) == 1:
-            b = SelectBuilder(self, q.branches[0][1])
             df = b.build(q.order, q.autoorder)
         else:
-            df = SelectBuilder(self, q.branches[0][1]).build([], False)
+            df = b.build([], False)
             for whole, s in q.branches[1:]:
                 right = SelectBuilder(self, s).build([], False)
                 df = df.union(right.toDF(*df.columns))
@@ -125,7 +126,7 @@ class QueryBuilder:
             known = {c.lower(): c for c in df.columns}
             cols = [known[c.lower()] for c in cols if c.lower() in known]
             df = df.repartition(*cols) if cols else df
-        return self.totals(df, q) if q.totals is not None else df
+        return self.totals(df, q, b) if q.totals is not None else df
 
     def _output_order(self, df: DataFrame, e: Any, desc: bool) -> Column:
         known = {c.lower(): c for c in df.columns}
@@ -138,10 +139,13 @@ class QueryBuilder:
         return F.col(name).desc_nulls_last() if desc else F.col(name).asc_nulls_first()
 
     # -- TOTALS
-    def totals(self, df: DataFrame, q: ast.Query) -> DataFrame:
+    def totals(self, df: DataFrame, q: ast.Query, first: SelectBuilder) -> DataFrame:
         """Detail rows and total rows in one result; ``totals_level`` is 0 overall, i for the i-th group, null for detail.
 
-        All levels come from one aggregation over grouping sets; hierarchical groups are first joined with the closure.
+        The levels above the first hierarchical group come from one aggregation over grouping sets.  From there on a row
+        counts for each of its ancestors, so each further set of hierarchical groups has an aggregation of its own, over
+        rows joined with the closure of the table the group's column refers to.  ``HIERARCHY`` gives totals of all nodes,
+        ``ONLY HIERARCHY`` of those that have others below them.
         """
         known = {c.lower(): c for c in df.columns}
 
@@ -158,38 +162,59 @@ class QueryBuilder:
                 aggs[known.get((target or "").lower(), target)] = self._total(f.expr, name_of)
             else:
                 aggs[name_of(f.expr)] = F.sum(name_of(f.expr))
-        source, detail = df, df
+        source = df
         for t, g in zip(q.totals_by, groups):
-            if t.hierarchy:
-                tdef = next((x for x in self.engine.catalog.tables.values() if x.parent and x.key), None)
-                pairs = self.engine.closure(tdef)
-                up = source.join(pairs.select("ancestor", F.col("descendant").alias(g)), g).drop(g).withColumnRenamed("ancestor", g)
-                source = up.select(*df.columns)
             if t.periods:
-                unit, low, high = t.periods
-                source = source.withColumn(g, scalar.begin_of_period(F.col(g), unit))
-        prefixes = [groups[: i + 1] for i in range(len(groups))]
-        sets = ([[]] if q.overall or not groups else []) + prefixes
-        out_aggs = [c.alias(f"__agg_{n}") for n, c in aggs.items()]
-        grouped = source.groupingSets([[F.col(x) for x in s] for s in sets], *groups).agg(*out_aggs, F.grouping_id(*groups).alias("__gid")) if groups else source.agg(*out_aggs).withColumn("__gid", F.lit(0))
-        level = F.lit(len(groups)) - F.bit_count("__gid") if groups else F.lit(0)
-        cols = [F.col(c) if c in groups else (F.col(f"__agg_{c}").cast(df.schema[c].dataType).alias(c) if c in aggs else F.lit(None).cast(df.schema[c].dataType).alias(c)) for c in df.columns]
-        total = grouped.select(*cols, level.cast("bigint").alias("totals_level"))
-        for t, g in zip(q.totals_by, groups):
-            if t.periods and len(groups) == 1:
-                total = self._densify(total, g, t.periods)
-        whole = total.unionByName(detail.withColumn("totals_level", F.lit(None).cast("bigint")))
+                source = source.withColumn(g, scalar.begin_of_period(F.col(g), t.periods[0]))
+        levels: dict[tuple[int, ...], list[int]] = {}  # hierarchical groups in a prefix -> lengths of the prefixes
+        for n in range(0 if q.overall or not groups else 1, len(groups) + 1):
+            levels.setdefault(tuple(i for i in range(n) if q.totals_by[i].hierarchy), []).append(n)
+        total = None
+        for climbing, sizes in levels.items():
+            rows = source
+            for i in climbing:
+                rows = self._climb(rows, groups[i], first.referred_table(groups[i]), q.totals_by[i].hierarchy == "only")
+            part = self._grouped(rows, df, groups, sizes, aggs)
+            total = part if total is None else total.unionByName(part)
+        for i, (t, g) in enumerate(zip(q.totals_by, groups)):
+            if t.periods:
+                total = self._densify(total, groups, i, t.periods)
+        whole = total.unionByName(df.withColumn("totals_level", F.lit(None).cast("bigint")))
         # a total stands before the rows it sums up
-        return whole.orderBy(*[c for g in groups for c in (F.col(g).asc_nulls_first(),)], F.col("totals_level").asc_nulls_last())
+        return whole.orderBy(*[F.col(g).asc_nulls_first() for g in groups], F.col("totals_level").asc_nulls_last())
+
+    def _climb(self, rows: DataFrame, g: str, t: TableDef, only: bool) -> DataFrame:
+        """Every row once for each node its column ``g`` lies under, the node in place of it."""
+        pairs = self.engine.closure(t)
+        if only:
+            pairs = pairs.join(pairs.where("depth > 0").select("ancestor").distinct(), "ancestor", "left_semi")
+        pairs = pairs.select(F.col("ancestor").alias("__up"), F.col("descendant").alias("__down"))
+        return rows.join(pairs, F.col(f"`{g}`") == F.col("__down")).withColumn(g, F.col("__up")).select(*(f"`{c}`" for c in rows.columns))
+
+    def _grouped(self, rows: DataFrame, df: DataFrame, groups: list[str], sizes: list[int], aggs: dict[str, Column]) -> DataFrame:
+        """Totals of the prefixes of ``groups`` with the given lengths."""
+        out_aggs = [c.alias(f"__agg_{n}") for n, c in aggs.items()]
+        if groups:
+            grouped = rows.groupingSets([[F.col(f"`{x}`") for x in groups[:n]] for n in sizes], *groups).agg(*out_aggs, F.grouping_id(*groups).alias("__gid"))
+            level = F.lit(len(groups)) - F.bit_count("__gid")
+        else:
+            grouped, level = rows.agg(*out_aggs), F.lit(0)
+        cols = []
+        for c in df.columns:
+            kind = df.schema[c].dataType
+            cols.append(F.col(f"`{c}`") if c in groups else F.col(f"`__agg_{c}`").cast(kind).alias(c) if c in aggs else F.lit(None).cast(kind).alias(c))
+        return grouped.select(*cols, level.cast("bigint").alias("totals_level"))
 
     def _total(self, call: ast.Call, name_of) -> Column:
         arg = F.lit(1) if isinstance(call.args[0], ast.Star) else F.col(name_of(call.args[0]))
         return {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count_distinct if call.distinct else F.count}[call.func](arg)
 
-    def _densify(self, total: DataFrame, g: str, periods: tuple) -> DataFrame:
+    def _densify(self, total: DataFrame, groups: list[str], at: int, periods: tuple) -> DataFrame:
+        """Total rows of the group ``at`` for every period between the borders, for each value of the groups before it."""
         unit, low, high = periods
+        g, before = groups[at], groups[:at]
         value = lambda e: SelectBuilder(self, ast.Select([], [])).expr(e)
-        rows = total.where("totals_level = 1")
+        rows = total.where(F.col("totals_level") == at + 1)
         if low is None or high is None:
             edge = rows.agg(F.min(g).alias("a"), F.max(g).alias("b")).first()
             if edge.a is None:
@@ -197,10 +222,14 @@ class QueryBuilder:
         begin = value(low) if low is not None else F.lit(edge.a)
         end = value(high) if high is not None else F.lit(edge.b)
         kind = total.schema[g].dataType
-        all_ = vt.with_periods(total, g, unit, begin.cast(kind), end.cast(kind))
-        filled = all_.join(rows, g, "left").select(*[F.lit(1).cast("bigint").alias(c) if c == "totals_level" else F.col(c) for c in total.columns])
-        outside = rows.join(all_, g, "left_anti")
-        return total.where("totals_level <> 1").unionByName(filled).unionByName(outside)
+        starts = F.explode(vt.period_starts(unit, begin.cast(kind), end.cast(kind))).alias(g)
+        keys = [*before, g]
+        all_ = (rows.select(*before).distinct() if before else self.engine.spark.range(1)).select(*before, starts)
+        same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
+        pick = [F.lit(at + 1).cast("bigint").alias(c) if c == "totals_level" else F.col(f"{'a' if c in keys else 'r'}.`{c}`") for c in total.columns]
+        filled = all_.alias("a").join(rows.alias("r"), same, "left").select(*pick)
+        outside = rows.alias("r").join(all_.alias("a"), same, "left_anti")
+        return total.where(F.col("totals_level") != at + 1).unionByName(filled).unionByName(outside)
 
 
 class SelectBuilder:
@@ -212,6 +241,7 @@ class SelectBuilder:
         self.bindings: list[Binding] = []
         self.df: DataFrame | None = None
         self.derefs: dict[tuple[str, str], Binding] = {}
+        self.owners: dict[str, Binding] = {}  # logical table -> its binding
         self.replaced: dict[str, Column] = {}  # canonical expression -> column after aggregation
 
     # -- sources
@@ -246,6 +276,14 @@ class SelectBuilder:
             raise PlanProblem("TABLE_NOT_FOUND", ".".join(src.parts))
         t, virtual = found
         alias = src.alias or src.parts[-1]
+        if t.criterion:  # rows of every table in which one of the columns holds the value
+            wanted = [self.constant(a) for a in src.args or []]
+            if len(wanted) != 1:
+                raise PlanProblem("PARSE_ERROR", f"{t.name} needs one value")
+            found = [self.engine.catalog.tables[Catalog.normal(n.split("."))] for n, _ in t.criterion]
+            parts = [x.df.where(F.col(c) == wanted[0]).select(F.lit(x.name).alias("table"), F.col(x.key).cast("string").alias("ref")) for x, (_, c) in zip(found, t.criterion)]
+            df, b = self.bind(alias, reduce(DataFrame.unionByName, parts).distinct(), {"table": "table", "таблица": "table", "ref": "ref", "ссылка": "ref"}, {}, None, None)
+            return df, [b]
         if virtual:
             df, logical = self.virtual(t, virtual, src.args or [])
         else:
@@ -253,6 +291,8 @@ class SelectBuilder:
             if self.s.allowed and t.restriction is not None:
                 df = df.where(t.restriction)
         df, b = self.bind(alias, df, logical, t.refs, t.key if not virtual else None, t.presentation)
+        if not virtual and t.key:
+            self.owners.setdefault(t.name, b)
         return df, [b]
 
     def join(self, j: ast.Join) -> tuple[DataFrame, list[Binding]]:
@@ -307,6 +347,26 @@ class SelectBuilder:
             return vt.boundaries(rows(args[0]), t.dims, t.period), names
         elif name == "EXTDIMENSIONS":
             return (df := vt.ext_dimensions(rows(args[0]), [t.period, *t.dims], [t.debit, t.credit])), names | {c.lower(): c for c in df.columns}
+        elif name == "RECORDSWITHEXTDIMENSIONS":
+            cond = args[2] if args[2] is not None else args[0]
+            moved = rows(cond).withColumn("__record", F.monotonically_increasing_id())
+            ext = vt.ext_dimensions(moved, ["__record"], [t.debit, t.credit]).withColumn("kind", F.concat(F.lit("ext_"), "kind"))
+            wide = [f"ext_{t.debit}", f"ext_{t.credit}"]
+            df = vt.records_with_ext_dimensions(moved, ext, ["__record"], wide).drop("__record")
+            return df, names | {"extdimensiondr": wide[0], "субконтодт": wide[0], "extdimensioncr": wide[1], "субконтокт": wide[1]}
+        elif name == "ACTUALACTIONPERIOD":
+            df = vt.actual_action_period(rows(args[0]), t.dims, t.action[0], t.action[1], t.action[2])
+            return df, {k: v for k, v in names.items() if v in df.columns} | {"actionperiodbegin": t.action[0], "периоддействияначало": t.action[0], "actionperiodend": t.action[1], "периоддействияконец": t.action[1]}
+        elif name == "SCHEDULEDATA":
+            plan, keys, day, hours = t.schedule
+            df = vt.schedule_data(rows(args[0]), plan, keys, t.action[0], t.action[1], day, hours)
+            return df, names | {"schedulevalue": hours, "значениеграфика": hours}
+        elif name == "TASKBYPERFORMER":
+            addressing, attributes, performer = t.addressing
+            df = vt.tasks_by_performer(t.df, addressing, attributes, performer)
+            if args[0] is not None:
+                df = df.where(F.col(performer) == self.constant(args[0]))
+            return df, names | {"performer": performer, "исполнитель": performer}
         else:
             raise PlanProblem("VIRTUAL_TABLE_NOT_AVAILABLE", name)
         for logical, physical in list(t.columns.items()):
@@ -364,6 +424,30 @@ class SelectBuilder:
         self.derefs[(b.alias, col)] = nb
         return nb
 
+    def nested(self, e: ast.Nested) -> str:
+        """Rows of a tabular section as an array of structures beside the row they belong to; one join on the owner's key."""
+        known = self.derefs.get(("nested", repr(e)))
+        if known is not None:
+            return known.columns["rows"]
+        alias, section = (e.parts[0].lower(), e.parts[-1]) if len(e.parts) > 1 else (None, e.parts[-1])
+        for src_name, b in self.owners.items():
+            if alias in (None, b.alias) and (found := self.engine.catalog.find([*src_name.split("."), section])) and found[1] is None:
+                t = found[0]
+                link = next((c for c, target in t.refs.items() if Catalog.normal(target.split(".")) == Catalog.normal(src_name.split("."))), None)
+                if link is None:
+                    continue
+                cols = []
+                for f in e.fields:
+                    if not isinstance(f.expr, ast.Name) or f.expr.parts[-1].lower() not in t.columns:
+                        raise PlanProblem("FIELD_NOT_FOUND", repr(f.expr))
+                    cols.append(F.col(t.columns[f.expr.parts[-1].lower()]).alias(f.alias or f.expr.parts[-1]))
+                rows = t.df.groupBy(F.col(link).alias("owner")).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("rows"))  # as many as one document has
+                df, nb = self.bind(f"nested{len(self.derefs)}", rows, {"owner": "owner", "rows": "rows"}, {}, None, None)
+                self.df = self.df.join(df, F.col(b.columns[SELF[0]]) == F.col(nb.columns["owner"]), "left")
+                self.derefs[("nested", repr(e))] = nb
+                return nb.columns["rows"]
+        raise PlanProblem("FIELD_CHAIN_INVALID", ".".join(e.parts))
+
     def canonical(self, e: Any) -> str:
         """A text that is equal for equal expressions, whatever way their columns are named."""
         if isinstance(e, ast.Name):
@@ -383,13 +467,42 @@ class SelectBuilder:
             right = self.members(inner)
             n = next(self.engine._ids)
             right = right.toDF(*(f"m{n}_{i}" for i in range(len(right.columns))))
-            pairs = [self.expr(a) == F.col(f"m{n}_{i}") for i, a in enumerate(inner.args)]
-            on = reduce(lambda a, b: a & b, pairs)
-            # NOT IN with a null on either side is never true: the null-aware form of the anti join
-            self.df = self.df.join(right, on | on.isNull() if negated else on, "left_anti" if negated else "left_semi")
+            if negated:
+                self.not_in([self.expr(a) for a in inner.args], right)
+            else:
+                on = reduce(lambda a, b: a & b, [self.expr(a) == F.col(c) for a, c in zip(inner.args, right.columns)])
+                self.df = self.df.join(right, on, "left_semi")
             return
         self.df = self.df.where(self.expr(cond))
 
+    def not_in(self, args: list[Column], right: DataFrame) -> None:
+        """NOT IN, which is never true where a null could be the missing partner.
+
+        Rows without a null take part in an anti join on equality; whether the subquery holds rows with nulls, or any row
+        at all, are single values.  With several columns the rows with nulls are told apart by which columns are null,
+        and each kind is compared on the columns that are not: equi-joins only, nothing is broadcast unseen.
+        """
+        n = len(args)
+        kinds = list(itertools.product((False, True), repeat=n))  # which columns are null
+        names = [f"__arg{i}" for i in range(n)]
+        left = self.df.withColumns(dict(zip(names, args)))
+
+        def of_kind(columns: list[str], kind: tuple) -> Column:
+            return reduce(lambda a, b: a & b, [F.col(c).isNull() if null else F.col(c).isNotNull() for c, null in zip(columns, kind)])
+
+        parts = []
+        for mine in kinds:
+            rows = left.where(of_kind(names, mine))
+            for theirs in kinds:
+                both = [i for i in range(n) if not mine[i] and not theirs[i]]
+                some = right.where(of_kind(right.columns, theirs))
+                if both:
+                    rows = rows.join(some.select(*(right.columns[i] for i in both)).distinct(), reduce(lambda a, b: a & b, [F.col(names[i]) == F.col(right.columns[i]) for i in both]), "left_anti")
+                else:  # every row could be the partner
+                    rows = rows.where(some.select(F.count(F.lit(1)).alias("n")).scalar() == 0)
+            parts.append(rows)
+        self.df = reduce(DataFrame.unionByName, parts).drop(*names)
+
     def members(self, e: ast.In) -> DataFrame:
         if e.query is not None:
             df = QueryBuilder(self.engine, self.params, self.temps, self).query(e.query)
@@ -398,8 +511,8 @@ class SelectBuilder:
             df = self.engine.spark.createDataFrame([(v,) for v in values], "key string" if any(isinstance(v, str) for v in values) else "key bigint")
         if not e.hierarchy:
             return df
-        ref = self.hierarchical(e.args[0])
-        return hierarchy.descendants_of(self.engine.closure(ref), df.toDF("key"))
+        t = self.hierarchical(e.args[0])
+        return hierarchy.below(t.df, t.key, t.parent, df.toDF("key"))
 
     def hierarchical(self, e: Any) -> TableDef:
         """The table with parents that a column refers to."""
@@ -413,6 +526,12 @@ class SelectBuilder:
                         return t
         raise PlanProblem("FIELD_CHAIN_INVALID", "IN HIERARCHY needs a reference to a table with parents")
 
+    def referred_table(self, output: str) -> TableDef:
+        """The table with parents that an output column refers to."""
+        out_fields = [x for f in self.s.fields for x in self.expand(f)]
+        expr = next((f.expr for f, n in zip(out_fields, self.output_names(out_fields)) if n == output), None)
+        return self.hierarchical(expr)
+
     def values(self, e: Any) -> list:
         if isinstance(e, ast.Param):
             v = self.params[e.name]
@@ -474,6 +593,8 @@ class SelectBuilder:
                 return QueryBuilder(self.engine, self.params, self.temps, self).query(e.query).scalar()
             case ast.Call():
                 return self.call(e)
+            case ast.Nested():
+                return F.col(self.nested(e))
         raise PlanProblem("PARSE_ERROR", f"cannot use {type(e).__name__} here")
 
     def binary(self, e: ast.Binary) -> Column:
@@ -599,6 +720,17 @@ class SelectBuilder:
             return scalar.SIMPLE[f]([self.expr(a) for a in e.args])
         raise PlanProblem("PARSE_ERROR", f"unknown function {f}")
 
+    def presentation_of(self, e: Any) -> Column | None:
+        """What a reference is shown as; None for anything else."""
+        col = self.resolve(e.parts) if isinstance(e, ast.Name) else None
+        for b in [*self.bindings, *self.derefs.values()]:
+            if col is not None and col in b.refs:
+                shown = self.dereference(b, col, e.parts).presentation
+                return F.col(shown) if shown else None
+            if col is not None and b.presentation and col == b.columns.get(SELF[0]):
+                return F.col(b.presentation)
+        return None
+
     # -- the whole
     def build(self, order: list, autoorder: bool) -> DataFrame:
         s = self.s
@@ -615,6 +747,8 @@ class SelectBuilder:
                     alias_only = len(n.parts) == 1 and any(f.alias and f.alias.lower() == n.parts[0].lower() for f in out_fields)
                     if not alias_only or n.parts[0].lower() in {c for b in self.bindings for c in b.columns}:
                         self.resolve(n.parts)
+                if isinstance(n, ast.Nested):
+                    self.nested(n)
                 if isinstance(n, ast.Cast) and n.path and isinstance(n.arg, ast.Name):
                     self.resolve([*n.arg.parts, *n.path])
                 if isinstance(n, ast.Call) and n.func in ("PRESENTATION", "REFPRESENTATION"):
@@ -647,11 +781,15 @@ class SelectBuilder:
             keys.append((name, desc, hier, e))
         if s.distinct and hidden:
             raise PlanProblem("PARSE_ERROR", "with DISTINCT only selected fields can be ordered by")
+        if autoorder and not keys:
+            for f, n in zip(out_fields, names):
+                shown = self.presentation_of(f.expr) if not s.distinct and not self.replaced else None
+                if shown is not None:
+                    hidden.append(shown.alias(f"__shown_{n}"))
+                keys.append((n if shown is None else f"__shown_{n}", False, False, None))
         df = self.df.select(*columns, *hidden)
         if s.distinct:
             df = df.distinct()
-        if autoorder and not keys:
-            keys = [(n, False, False, None) for n in names]
         if keys:
             sort = []
             for name, desc, hier, e in keys:
@@ -664,11 +802,10 @@ class SelectBuilder:
             df = df.orderBy(*sort)
         if s.top is not None:
             df = df.limit(s.top)
-        df = df.select(*(F.col(f"`{n}`") for n in names))
-        for f, n in zip(out_fields, names):
-            if isinstance(f.expr, ast.Call) and f.expr.func == "RECORDAUTONUMBER":
-                df = number_rows(df, n)
-        return df
+        numbers = [n for f, n in zip(out_fields, names) if isinstance(f.expr, ast.Call) and f.expr.func == "RECORDAUTONUMBER"]
+        if numbers:
+            df = number_rows(df, numbers, sort if keys else [], [n for n in names if n not in numbers])
+        return df.select(*(F.col(f"`{n}`") for n in names))
 
     def aggregate(self, calls: list) -> None:
         s = self.s
@@ -750,24 +887,26 @@ def like_regex(pattern: str, escape: str | None) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
-def number_rows(df: DataFrame, name: str) -> DataFrame:
-    """Consecutive numbers from 0 in the order of the other columns, without moving all rows into one partition.
+def number_rows(df: DataFrame, names: list[str], sort: list[Column], rest: list[str]) -> DataFrame:
+    """Consecutive numbers from 0 in the columns ``names``, in the order ``sort`` and then by the columns ``rest``.
 
-    Rows are range-partitioned and sorted; the number of rows before each partition (one small row per partition) is added
-    to the position within it.
+    Rows are range-partitioned and sorted, and so placed they are stored, for a second run might place them otherwise; the
+    number of rows before each partition (one row per partition) is added to the position within it.
     """
-    rest = [c for c in df.columns if c != name]
-    placed = df.drop(name).repartitionByRange(*(F.col(f"`{c}`") for c in rest)).sortWithinPartitions(*rest).withColumn("__mid", F.monotonically_increasing_id())
+    order = [*sort, *(F.col(f"`{c}`").asc_nulls_first() for c in rest)]
+    bare = df.drop(*names)
+    placed = checkpointed(bare.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mid", F.monotonically_increasing_id()) if order else bare.withColumn("__mid", F.monotonically_increasing_id()))
     split = placed.withColumn("__part", F.shiftright("__mid", 33)).withColumn("__pos", F.col("__mid").bitwiseAND((1 << 33) - 1))
-    sizes = split.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()
-    before, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["__part"]):
-        before[r["__part"]] = total
-        total += r.n
-    if not before:
-        return df
-    offset = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("__part")]
-    return split.withColumn(name, (offset + F.col("__pos")).cast("bigint")).select(*df.columns)
+    sizes = {r["__part"]: r.n for r in split.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
+    before, total = [], 0
+    for part in sorted(sizes):
+        before.append((part, total))
+        total += sizes[part]
+    offsets = df.sparkSession.createDataFrame(before, "__part long, __before long")
+    numbered = split.join(F.broadcast(offsets), "__part")
+    number = (F.col("__before") + F.col("__pos")).cast("bigint")
+    out = numbered.select(*(number.alias(c) if c in names else F.col(f"`{c}`") for c in df.columns))
+    return out.orderBy(F.col(f"`{names[0]}`")) if sort else out
 
 
 def explain(text: str) -> dict:

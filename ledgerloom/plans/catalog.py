@@ -58,6 +58,10 @@ class TableDef:
     ties: list[str] = field(default_factory=list)
     restriction: Column | None = None  # row-level access filter, used by ALLOWED
     numeric: set[str] = field(default_factory=set)
+    action: tuple[str, str, str] | None = None  # begin and end of what a record is in force for, and its rank
+    schedule: tuple[DataFrame, list[str], str, str] | None = None  # schedule, keys, day, value
+    addressing: tuple[DataFrame, list[str], str] | None = None  # addressing register, attributes, performer
+    criterion: list[tuple[str, str]] | None = None  # tables and the columns a filter criterion looks at
 
     @property
     def kind(self) -> str:
@@ -141,4 +145,17 @@ def sample_catalog(spark: SparkSession, d: str) -> Catalog:
         TableDef("InformationRegister.UserEvents", t["events"], _columns(t["events"], {"ts": "Period Период", "user_id": "User Пользователь", "event_type": "EventType ВидСобытия", "value": "Value Значение"}), dims=["user_id", "event_type"], resources=["value"], period="ts", ties=["event_id"]),
         "InformationRegister.События",
     )
+    # the orders as records of a calculation register: each is in force for as many days as its priority says
+    rank = F.substring("o_orderpriority", 1, 1).cast("int")
+    charges = t["orders"].select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("begin"), F.timestamp_add("DAY", rank * 30, F.col("o_orderdate")).alias("end"), "o_orderkey", rank.alias("rank")).toDF("charge", "employee", "begin", "end", "number", "rank")
+    days = t["orders"].groupBy(F.col("o_custkey").alias("employee"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("day")).agg(F.sum(F.lit(8.0)).alias("hours"))
+    c.add(
+        TableDef("CalculationRegister.Charges", charges, _columns(charges, {"employee": "Сотрудник", "charge": "Начисление"}), dims=["employee"], period="begin", action=("begin", "end", "number"), schedule=(days, ["employee"], "day", "hours")),
+        "CalculationRegister.Начисления",
+    )
+    tasks = t["supplier"].select(F.col("s_suppkey").alias("task"), F.col("s_nationkey").alias("office"), F.col("s_name").alias("title"))
+    who = t["nation"].select(F.when(F.col("n_nationkey") < 20, F.col("n_nationkey")).alias("office"), F.concat(F.lit("user"), F.col("n_regionkey").cast("string")).alias("person"))
+    c.add(TableDef("Task.Errands", tasks, _columns(tasks, {"task": "Ref Ссылка", "title": "Description Наименование"}), "task", "title", addressing=(who, ["office"], "person")), "Task.Поручения")
+    c.add(TableDef("ExternalDataSource.Warehouse.Table.Parts", t["part"], _columns(t["part"], {"p_partkey": "Ref Ссылка"}), "p_partkey", "p_name"))
+    c.add(TableDef("FilterCriterion.OfNation", t["nation"], {}, criterion=[("Catalog.Customers", "c_nationkey"), ("Catalog.Suppliers", "s_nationkey")]), "FilterCriterion.ПоСтране")
     return c

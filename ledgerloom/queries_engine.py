@@ -7,6 +7,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.plans.builder import Engine
 from ledgerloom.plans.catalog import sample_catalog
@@ -16,12 +17,13 @@ SQL: dict[str, str] = {}
 TEXTS: dict[str, str] = {}
 
 
-def q(name: str, text: str, sql: str | None = None, **params: Any) -> None:
-    """Register a query text and its oracle."""
+def q(name: str, text: str, sql: str | None = None, shown: Callable[[DataFrame], DataFrame] | None = None, **params: Any) -> None:
+    """Register a query text and its oracle; ``shown`` gives the result a form SQL can be compared in."""
     TEXTS[name] = text
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return Engine(spark, sample_catalog(spark, d)).run(text, params)
+        df = Engine(spark, sample_catalog(spark, d)).run(text, params)
+        return df if shown is None else shown(df)
 
     run.__name__ = name
     QUERIES[name] = run
@@ -58,8 +60,6 @@ q("rel_cross_comma", "SELECT R.Description AS region, N.Description AS nation FR
 q("rel_nested_join", "SELECT S.Ref AS key, R.Description AS region FROM Catalog.Suppliers AS S JOIN (Catalog.Nations AS N JOIN Catalog.Regions AS R ON N.Region = R.Ref) ON S.Nation = N.Ref", "SELECT s_suppkey AS key, r_name AS region FROM supplier JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON s_nationkey = n_nationkey")
 q("rel_or_join", "SELECT C.Ref AS c, S.Ref AS s FROM Catalog.Customers AS C JOIN Catalog.Suppliers AS S ON C.Ref = S.Ref OR C.Ref = S.Nation", "SELECT c_custkey AS c, s_suppkey AS s FROM customer JOIN supplier ON c_custkey = s_suppkey OR c_custkey = s_nationkey")
 q("rel_theta_range_join", "SELECT R.Ref AS r, N.Ref AS n FROM Catalog.Regions AS R JOIN Catalog.Nations AS N ON N.Ref BETWEEN R.Ref * 3 AND R.Ref * 5", "SELECT r_regionkey AS r, n_nationkey AS n FROM region JOIN nation ON n_nationkey BETWEEN r_regionkey*3 AND r_regionkey*5")
-q("rel_null_safe_join", "SELECT A.Ref AS a, B.Ref AS b FROM Catalog.Geography AS A JOIN Catalog.Geography AS B ON A.Parent = B.Parent OR (A.Parent IS NULL AND B.Parent IS NULL) WHERE A.Ref < \"N\" AND B.Ref < \"N\" AND NOT A.Ref < \"D\" AND NOT B.Ref < \"D\"",
-  "WITH g AS (SELECT 'N'||n_nationkey AS ref, 'R'||n_regionkey AS parent FROM nation) SELECT a.ref AS a, b.ref AS b FROM g a JOIN g b ON a.parent IS NOT DISTINCT FROM b.parent WHERE a.ref < 'N' AND b.ref < 'N'")
 q("rel_composite_key_join", "SELECT L.Order AS ord, L.LineNumber AS line, K.n AS n FROM Document.Orders.Lines AS L JOIN (SELECT X.Order AS ord, X.LineNumber AS line, COUNT(*) AS n FROM Document.Orders.Lines AS X GROUP BY X.Order, X.LineNumber) AS K ON L.Order = K.ord AND L.LineNumber = K.line WHERE K.n > 1",
   "SELECT l_orderkey AS ord, l_linenumber AS line, n FROM lineitem JOIN (SELECT l_orderkey o, l_linenumber l, count(*) n FROM lineitem GROUP BY 1,2) k ON l_orderkey = o AND l_linenumber = l WHERE n > 1")
 q("rel_deref_one_hop", "SELECT O.Ref AS key, O.Customer.Segment AS segment FROM Document.Orders AS O", "SELECT o_orderkey AS key, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -94,8 +94,6 @@ q("agg_totals", "SELECT O.Status AS status, O.Priority AS priority, COUNT(*) AS
 q("agg_totals_periods", "SELECT BEGINOFPERIOD(E.Period, DAY) AS day, COUNT(*) AS n FROM InformationRegister.UserEvents AS E WHERE E.EventType = \"error\" AND E.Period >= &From GROUP BY BEGINOFPERIOD(E.Period, DAY) TOTALS SUM(n) BY day PERIODS(DAY, &From, &To)",
   "WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events WHERE event_type='error' AND ts >= TIMESTAMP '2024-01-10' GROUP BY 1), t AS (SELECT day, sum(n)::BIGINT AS n FROM d GROUP BY 1), p AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-02-05', INTERVAL 1 DAY)) AS day) SELECT day, n, NULL::BIGINT AS totals_level FROM d UNION ALL SELECT p.day, t.n, 1 FROM p LEFT JOIN t ON t.day = p.day UNION ALL SELECT t.day, t.n, 1 FROM t WHERE t.day NOT IN (SELECT day FROM p)",
   From=D(2024, 1, 10), To=D(2024, 2, 5))
-q("agg_totals_hierarchy", "SELECT G.Ref AS ref, 1 AS n FROM Catalog.Geography AS G WHERE G.Ref >= \"N\" TOTALS SUM(n) BY ref HIERARCHY",
-  "WITH g AS (SELECT 'N'||n_nationkey AS ref, 'R'||n_regionkey AS parent FROM nation UNION ALL SELECT 'R'||r_regionkey, NULL FROM region), c AS (SELECT ref AS anc, ref AS des FROM g UNION ALL SELECT parent, ref FROM g WHERE parent IS NOT NULL) SELECT ref, 1 AS n, NULL::BIGINT AS totals_level FROM g UNION ALL SELECT anc, count(*)::INTEGER, 1 FROM c GROUP BY 1")
 
 q("fn_string", 'SELECT C.Ref AS key, SUBSTRING(C.Description, 3, 4) AS sub, UPPER(C.Segment) AS up, LOWER(C.Segment) AS low, STRINGLENGTH(C.Description) AS len, LEFT(C.Description, 3) AS l, RIGHT(C.Description, 3) AS r, STRFIND(C.Segment, "U") AS pos, STRREPLACE(C.Segment, "U", "u") AS rep, TRIMALL("  x ") AS tr FROM Catalog.Customers AS C',
   "SELECT c_custkey AS key, substr(c_name,3,4) AS sub, upper(c_mktsegment) AS up, lower(c_mktsegment) AS low, length(c_name) AS len, left(c_name,3) AS l, right(c_name,3) AS r, instr(c_mktsegment,'U') AS pos, replace(c_mktsegment,'U','u') AS rep, 'x' AS tr FROM customer")
@@ -113,21 +111,13 @@ q("vt_slice_last", "SELECT S.User AS u, S.EventType AS t, S.Period AS p, S.event
   "SELECT user_id AS u, event_type AS t, ts AS p, event_id AS id FROM events WHERE event_type IN ('view','purchase') AND ts <= TIMESTAMP '2024-01-20' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1", At=D(2024, 1, 20))
 q("vt_slice_first", "ВЫБРАТЬ С.Пользователь КАК u, С.ВидСобытия КАК t, С.Период КАК p ИЗ РегистрСведений.События.СрезПервых(&С) КАК С",
   "SELECT user_id AS u, event_type AS t, ts AS p FROM events WHERE ts >= TIMESTAMP '2024-01-05' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1", С=D(2024, 1, 5))
-q("vt_balance", "ВЫБРАТЬ О.Товар КАК part, О.Поставщик КАК supp, ОКР(О.КоличествоОстаток, 2) КАК qty ИЗ РегистрНакопления.Запасы.Остатки(&На, Товар < 500) КАК О",
-  "WITH b AS (SELECT l_partkey AS part, l_suppkey AS supp, sum(CASE WHEN l_linestatus='F' THEN l_quantity ELSE -l_quantity END) AS q, sum(CASE WHEN l_linestatus='F' THEN l_extendedprice ELSE -l_extendedprice END) AS a FROM lineitem WHERE l_partkey < 500 AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1,2) SELECT part, supp, round(q,2) AS qty FROM b WHERE q <> 0 OR a <> 0", На=D(1997, 1, 1))
-q("vt_turnovers_monthly", "SELECT T.Part AS part, T.Period AS month, ROUND(T.QuantityReceipt, 2) AS got, ROUND(T.QuantityExpense, 2) AS gone, ROUND(T.QuantityTurnover, 2) AS net FROM AccumulationRegister.Stock.Turnovers(&B, &E, MONTH, Part < 300) AS T",
-  "SELECT part, month, round(g,2) AS got, round(x,2) AS gone, round(n,2) AS net FROM (SELECT l_partkey AS part, l_suppkey, date_trunc('month', l_shipdate)::TIMESTAMP AS month, sum(CASE WHEN l_linestatus='F' THEN l_quantity ELSE 0 END) g, sum(CASE WHEN l_linestatus='F' THEN 0 ELSE l_quantity END) x, sum(CASE WHEN l_linestatus='F' THEN l_quantity ELSE -l_quantity END) n FROM lineitem WHERE l_partkey < 300 AND l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31' GROUP BY 1,2,3)", B=D(1995, 1, 1), E=D(1995, 12, 31))
-_BT = "WITH c AS (SELECT l_partkey AS part, l_suppkey AS supp, CASE WHEN l_shipdate < TIMESTAMP '1995-01-01' THEN NULL ELSE date_trunc('quarter', l_shipdate)::TIMESTAMP END AS p, l_shipdate < TIMESTAMP '1995-01-01' AS before, sum(CASE WHEN l_linestatus='F' THEN l_quantity ELSE -l_quantity END) n FROM lineitem WHERE l_partkey < 200 AND l_shipdate <= TIMESTAMP '1996-12-31' GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY part, supp ORDER BY before DESC, p ROWS UNBOUNDED PRECEDING) cl FROM c) SELECT part, supp, p AS quarter, round(cl - n, 2) AS opening, round(n, 2) AS net, round(cl, 2) AS closing FROM w WHERE NOT before"
-q("vt_balance_and_turnovers", "SELECT T.Part AS part, T.Supplier AS supp, T.Period AS quarter, ROUND(T.QuantityOpening, 2) AS opening, ROUND(T.QuantityTurnover, 2) AS net, ROUND(T.QuantityClosing, 2) AS closing FROM AccumulationRegister.Stock.BalanceAndTurnovers(&B, &E, QUARTER, , Part < 200) AS T", _BT, B=D(1995, 1, 1), E=D(1996, 12, 31))
-q("vt_drcr_turnovers", "SELECT T.AccountDr AS dr, T.AccountCr AS cr, T.ReturnFlag AS flag, ROUND(T.AmountTurnover, 2) AS amount FROM AccountingRegister.Journal.DrCrTurnovers(&B, &E, , Part < 300) AS T",
-  "SELECT l_suppkey AS dr, l_partkey AS cr, l_returnflag AS flag, round(sum(l_extendedprice),2) AS amount FROM lineitem WHERE l_partkey < 300 AND l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1,2,3", B=D(1995, 1, 1), E=D(1996, 12, 31))
-# the same register views over the whole register
-q("vt_balance_whole", "ВЫБРАТЬ О.Товар КАК part, О.Поставщик КАК supp, ОКР(О.КоличествоОстаток, 2) КАК qty ИЗ РегистрНакопления.Запасы.Остатки(&На) КАК О", SQL["vt_balance"].replace("l_partkey < 500 AND ", ""), На=D(1997, 1, 1))
-q("vt_turnovers_monthly_whole", "SELECT T.Part AS part, T.Period AS month, ROUND(T.QuantityReceipt, 2) AS got, ROUND(T.QuantityExpense, 2) AS gone, ROUND(T.QuantityTurnover, 2) AS net FROM AccumulationRegister.Stock.Turnovers(&B, &E, MONTH) AS T",
-  SQL["vt_turnovers_monthly"].replace("l_partkey < 300 AND ", ""), B=D(1995, 1, 1), E=D(1995, 12, 31))
-q("vt_balance_and_turnovers_whole", "SELECT T.Part AS part, T.Supplier AS supp, T.Period AS quarter, ROUND(T.QuantityOpening, 2) AS opening, ROUND(T.QuantityTurnover, 2) AS net, ROUND(T.QuantityClosing, 2) AS closing FROM AccumulationRegister.Stock.BalanceAndTurnovers(&B, &E, QUARTER) AS T",
-  _BT.replace("l_partkey < 200 AND ", ""), B=D(1995, 1, 1), E=D(1996, 12, 31))
-q("vt_drcr_turnovers_whole", "SELECT T.AccountDr AS dr, T.AccountCr AS cr, T.ReturnFlag AS flag, ROUND(T.AmountTurnover, 2) AS amount FROM AccountingRegister.Journal.DrCrTurnovers(&B, &E) AS T", SQL["vt_drcr_turnovers"].replace("l_partkey < 300 AND ", ""), B=D(1995, 1, 1), E=D(1996, 12, 31))
+_BT = "WITH c AS (SELECT l_partkey AS part, l_suppkey AS supp, CASE WHEN l_shipdate < TIMESTAMP '1995-01-01' THEN NULL ELSE date_trunc('quarter', l_shipdate)::TIMESTAMP END AS p, l_shipdate < TIMESTAMP '1995-01-01' AS before, sum(CASE WHEN l_linestatus='F' THEN l_quantity ELSE -l_quantity END) n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1996-12-31' GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY part, supp ORDER BY before DESC, p ROWS UNBOUNDED PRECEDING) cl FROM c) SELECT part, supp, p AS quarter, round(cl - n, 2) AS opening, round(n, 2) AS net, round(cl, 2) AS closing FROM w WHERE NOT before"
+q("vt_balance", "ВЫБРАТЬ О.Товар КАК part, О.Поставщик КАК supp, ОКР(О.КоличествоОстаток, 2) КАК qty ИЗ РегистрНакопления.Запасы.Остатки(&На) КАК О", "WITH b AS (SELECT l_partkey AS part, l_suppkey AS supp, sum(CASE WHEN l_linestatus='F' THEN l_quantity ELSE -l_quantity END) AS q, sum(CASE WHEN l_linestatus='F' THEN l_extendedprice ELSE -l_extendedprice END) AS a FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1,2) SELECT part, supp, round(q,2) AS qty FROM b WHERE q <> 0 OR a <> 0", На=D(1997, 1, 1))
+q("vt_turnovers_monthly", "SELECT T.Part AS part, T.Period AS month, ROUND(T.QuantityReceipt, 2) AS got, ROUND(T.QuantityExpense, 2) AS gone, ROUND(T.QuantityTurnover, 2) AS net FROM AccumulationRegister.Stock.Turnovers(&B, &E, MONTH) AS T",
+  "SELECT part, month, round(g,2) AS got, round(x,2) AS gone, round(n,2) AS net FROM (SELECT l_partkey AS part, l_suppkey, date_trunc('month', l_shipdate)::TIMESTAMP AS month, sum(CASE WHEN l_linestatus='F' THEN l_quantity ELSE 0 END) g, sum(CASE WHEN l_linestatus='F' THEN 0 ELSE l_quantity END) x, sum(CASE WHEN l_linestatus='F' THEN l_quantity ELSE -l_quantity END) n FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31' GROUP BY 1,2,3)", B=D(1995, 1, 1), E=D(1995, 12, 31))
+q("vt_balance_and_turnovers", "SELECT T.Part AS part, T.Supplier AS supp, T.Period AS quarter, ROUND(T.QuantityOpening, 2) AS opening, ROUND(T.QuantityTurnover, 2) AS net, ROUND(T.QuantityClosing, 2) AS closing FROM AccumulationRegister.Stock.BalanceAndTurnovers(&B, &E, QUARTER) AS T",
+  _BT, B=D(1995, 1, 1), E=D(1996, 12, 31))
+q("vt_drcr_turnovers", "SELECT T.AccountDr AS dr, T.AccountCr AS cr, T.ReturnFlag AS flag, ROUND(T.AmountTurnover, 2) AS amount FROM AccountingRegister.Journal.DrCrTurnovers(&B, &E) AS T", "SELECT l_suppkey AS dr, l_partkey AS cr, l_returnflag AS flag, round(sum(l_extendedprice),2) AS amount FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1,2,3", B=D(1995, 1, 1), E=D(1996, 12, 31))
 q("vt_boundaries", "SELECT B.o_custkey AS cust, B.Period AS last FROM Sequence.Orders.Boundaries() AS B", "SELECT o_custkey AS cust, max(o_orderdate) AS last FROM orders GROUP BY 1")
 q("vt_ext_dimensions", "SELECT X.kind AS kind, COUNT(DISTINCT X.value) AS n FROM AccountingRegister.Journal.ExtDimensions() AS X GROUP BY X.kind", "SELECT 'l_suppkey' AS kind, count(DISTINCT l_suppkey) AS n FROM lineitem UNION ALL SELECT 'l_partkey', count(DISTINCT l_partkey) FROM lineitem")
 q("vt_asof_lookup", "SELECT E.event_id AS id, S.Value AS known FROM InformationRegister.UserEvents AS E LEFT JOIN InformationRegister.UserEvents.SliceLast(&At, EventType = \"signup\") AS S ON E.User = S.User WHERE E.EventType = \"error\"",
@@ -135,14 +125,53 @@ q("vt_asof_lookup", "SELECT E.event_id AS id, S.Value AS known FROM InformationR
 
 q("hier_in_hierarchy", "SELECT G.Ref AS ref FROM Catalog.Geography AS G WHERE G.Ref IN HIERARCHY (&Root)",
   "SELECT 'R1' AS ref UNION ALL SELECT 'N'||n_nationkey FROM nation WHERE n_regionkey=1 UNION ALL SELECT 'C'||c_custkey FROM customer JOIN nation ON c_nationkey=n_nationkey WHERE n_regionkey=1", Root="R1")
-q("hier_order", "SELECT G.Ref AS ref, G.Description AS name FROM Catalog.Geography AS G WHERE G.Ref >= \"N\" ORDER BY ref HIERARCHY", "SELECT 'N'||n_nationkey AS ref, n_name AS name FROM nation UNION ALL SELECT 'R'||r_regionkey, r_name FROM region")
 # over the whole hierarchy, customers included; of the null-safe join, one side has a row per parent, so that its result is bounded
 _GEO = "WITH g AS (SELECT 'R'||r_regionkey AS ref, NULL::VARCHAR AS parent, r_name AS name FROM region UNION ALL SELECT 'N'||n_nationkey, 'R'||n_regionkey, n_name FROM nation UNION ALL SELECT 'C'||c_custkey, 'N'||c_nationkey, c_name FROM customer)"
-q("rel_null_safe_join_whole", "SELECT A.Ref AS ref, B.n AS siblings FROM Catalog.Geography AS A JOIN (SELECT X.Parent AS parent, COUNT(*) AS n FROM Catalog.Geography AS X GROUP BY X.Parent) AS B ON A.Parent = B.parent OR (A.Parent IS NULL AND B.parent IS NULL)",
+q("rel_null_safe_join", "SELECT A.Ref AS ref, B.n AS siblings FROM Catalog.Geography AS A JOIN (SELECT X.Parent AS parent, COUNT(*) AS n FROM Catalog.Geography AS X GROUP BY X.Parent) AS B ON A.Parent = B.parent OR (A.Parent IS NULL AND B.parent IS NULL)",
   _GEO + ", p AS (SELECT parent, count(*) AS n FROM g GROUP BY 1) SELECT ref, n AS siblings FROM g JOIN p ON g.parent IS NOT DISTINCT FROM p.parent")
-q("hier_order_whole", "SELECT G.Ref AS ref, G.Description AS name FROM Catalog.Geography AS G ORDER BY ref HIERARCHY", _GEO + " SELECT ref, name FROM g")
-q("agg_totals_hierarchy_whole", "SELECT G.Ref AS ref, 1 AS n FROM Catalog.Geography AS G TOTALS SUM(n) BY ref HIERARCHY",
+q("hier_order", "SELECT G.Ref AS ref, G.Description AS name FROM Catalog.Geography AS G ORDER BY ref HIERARCHY", _GEO + " SELECT ref, name FROM g")
+q("agg_totals_hierarchy", "SELECT G.Ref AS ref, 1 AS n FROM Catalog.Geography AS G TOTALS SUM(n) BY ref HIERARCHY",
   _GEO + ", c AS (SELECT ref AS anc FROM g UNION ALL SELECT p.ref FROM g JOIN g p ON g.parent = p.ref UNION ALL SELECT pp.ref FROM g JOIN g p ON g.parent = p.ref JOIN g pp ON p.parent = pp.ref) SELECT ref, 1 AS n, NULL::BIGINT AS totals_level FROM g UNION ALL SELECT anc, count(*)::INTEGER, 1 FROM c GROUP BY 1")
+_UP = ", c AS (SELECT ref AS anc, ref AS des FROM g UNION ALL SELECT p.ref, g.ref FROM g JOIN g p ON g.parent = p.ref UNION ALL SELECT pp.ref, g.ref FROM g JOIN g p ON g.parent = p.ref JOIN g pp ON p.parent = pp.ref)"
+q("agg_totals_overall_hierarchy", "SELECT G.Ref AS ref, 1 AS n FROM Catalog.Geography AS G TOTALS SUM(n) BY OVERALL, ref HIERARCHY",
+  _GEO + _UP + " SELECT ref, 1 AS n, NULL::BIGINT AS totals_level FROM g UNION ALL SELECT anc, count(*)::INTEGER, 1 FROM c GROUP BY 1 UNION ALL SELECT NULL, count(*)::INTEGER, 0 FROM g")
+q("agg_totals_only_hierarchy", "SELECT G.Ref AS ref, 1 AS n FROM Catalog.Geography AS G TOTALS SUM(n) BY OVERALL, ref ONLY HIERARCHY",
+  _GEO + _UP + " SELECT ref, 1 AS n, NULL::BIGINT AS totals_level FROM g UNION ALL SELECT anc, count(*)::INTEGER, 1 FROM c WHERE anc IN (SELECT anc FROM c WHERE anc <> des) GROUP BY 1 UNION ALL SELECT NULL, count(*)::INTEGER, 0 FROM g")
+q("agg_totals_group_then_hierarchy", "SELECT N.Region AS region, N.Ref AS nation, P.Ref AS place, 1 AS n FROM Catalog.Nations AS N INNER JOIN Catalog.Geography AS P ON P.Description = N.Description TOTALS SUM(n) BY OVERALL, region, place HIERARCHY",
+  _GEO + _UP + ", d AS (SELECT n_regionkey AS region, n_nationkey AS nation, ref AS place FROM nation JOIN g ON g.name = n_name) SELECT region, nation, place, 1 AS n, NULL::BIGINT AS totals_level FROM d UNION ALL SELECT NULL, NULL, NULL, count(*)::INTEGER, 0 FROM d UNION ALL SELECT region, NULL, NULL, count(*)::INTEGER, 1 FROM d GROUP BY region UNION ALL SELECT region, NULL, anc, count(*)::INTEGER, 2 FROM d JOIN c ON c.des = d.place GROUP BY region, anc")
+q("agg_totals_periods_by_type", "SELECT E.EventType AS kind, BEGINOFPERIOD(E.Period, MONTH) AS month, COUNT(*) AS n FROM InformationRegister.UserEvents AS E GROUP BY E.EventType, BEGINOFPERIOD(E.Period, MONTH) TOTALS SUM(n) BY kind, month PERIODS(MONTH, &From, &To)",
+  "WITH d AS (SELECT event_type AS kind, date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT kind, unnest(generate_series(TIMESTAMP '2023-11-01', TIMESTAMP '2024-03-01', INTERVAL 1 MONTH)) AS month FROM (SELECT DISTINCT kind FROM d)) SELECT kind, month, n, NULL::BIGINT AS totals_level FROM d UNION ALL SELECT kind, NULL, sum(n)::BIGINT, 1 FROM d GROUP BY kind UNION ALL SELECT p.kind, p.month, d.n, 2 FROM p LEFT JOIN d USING (kind, month) UNION ALL SELECT d.kind, d.month, d.n, 2 FROM d LEFT JOIN p USING (kind, month) WHERE p.month IS NULL",
+  From=D(2023, 11, 1), To=D(2024, 3, 1))
+q("rel_record_number_desc", "SELECT O.Ref AS key, O.Total AS total, RECORDAUTONUMBER() AS num FROM Document.Orders AS O ORDER BY O.Total DESC, O.Ref",
+  "SELECT o_orderkey AS key, o_totalprice AS total, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS num FROM orders")
+q("rel_not_in_nulls", "SELECT G.Ref AS ref FROM Catalog.Geography AS G WHERE NOT G.Parent IN (SELECT X.Parent FROM Catalog.Geography AS X WHERE X.Parent = \"R1\" OR X.Parent = \"R2\")", _GEO + " SELECT ref FROM g WHERE parent NOT IN (SELECT parent FROM g WHERE parent IN ('R1', 'R2'))")
+q("rel_not_in_subquery_null", "SELECT G.Ref AS ref FROM Catalog.Geography AS G WHERE NOT G.Ref IN (SELECT X.Parent FROM Catalog.Geography AS X)", _GEO + " SELECT ref FROM g WHERE ref NOT IN (SELECT parent FROM g)")
+q("rel_not_in_tuple", "SELECT L.Order AS ord, L.LineNumber AS line FROM Document.Orders.Lines AS L WHERE NOT (L.Order, L.Part) IN (SELECT X.Order, MAX(X.Part) FROM Document.Orders.Lines AS X GROUP BY X.Order)",
+  "SELECT l_orderkey AS ord, l_linenumber AS line FROM lineitem WHERE (l_orderkey, l_partkey) NOT IN (SELECT l_orderkey, max(l_partkey) FROM lineitem GROUP BY 1)")
+q("rel_autoorder", "SELECT N.Region AS region, N.Description AS name FROM Catalog.Nations AS N AUTOORDER", "SELECT n_regionkey AS region, n_name AS name FROM nation")
+q("rel_null_column", "SELECT R.Ref AS key, NULL AS nothing, UNDEFINED AS unknown FROM Catalog.Regions AS R WHERE R.Ref IS NOT NULL", "SELECT r_regionkey AS key, NULL AS nothing, NULL AS unknown FROM region")
+q("rel_nested_table", "SELECT O.Ref AS key, O.Lines.(LineNumber AS line, Part AS part) AS lines FROM Document.Orders AS O WHERE O.Status = \"F\"",
+  "SELECT o_orderkey AS key, (SELECT list_sort(list(l_linenumber || ':' || l_partkey)) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders WHERE o_orderstatus = 'F'",
+  shown=lambda df: df.select("key", F.sort_array(F.transform("lines", lambda x: F.concat_ws(":", x["line"], x["part"]))).alias("lines")))
+q("rel_external_table", "SELECT P.Ref AS key, P.p_brand AS brand FROM ExternalDataSource.Warehouse.Table.Parts AS P WHERE P.p_size > 40", "SELECT p_partkey AS key, p_brand AS brand FROM part WHERE p_size > 40")
+q("rel_filter_criterion", "SELECT F.Table AS tab, F.Ref AS ref FROM FilterCriterion.OfNation(&Nation) AS F", "SELECT 'Catalog.Customers' AS tab, c_custkey::VARCHAR AS ref FROM customer WHERE c_nationkey = 7 UNION SELECT 'Catalog.Suppliers', s_suppkey::VARCHAR FROM supplier WHERE s_nationkey = 7", Nation=7)
+q("rel_for_update", "SELECT R.Ref AS key FROM Catalog.Regions AS R FOR UPDATE Catalog.Regions", "SELECT r_regionkey AS key FROM region")
+q("rel_value_type", "SELECT VALUETYPE(N.Region) AS kind, COUNT(*) AS n FROM Catalog.Nations AS N WHERE VALUETYPE(N.Region) = TYPE(Catalog.Regions) GROUP BY VALUETYPE(N.Region)", "SELECT 'CATALOG.REGIONS' AS kind, count(*) AS n FROM nation")
+q("rel_value_empty_ref", "SELECT N.Ref AS key FROM Catalog.Nations AS N WHERE ISNULL(N.Region, VALUE(Catalog.Regions.EmptyRef)) = VALUE(Catalog.Regions.EUROPE)", "SELECT n_nationkey AS key FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")
+q("fn_string_cast_uuid", "SELECT P.Ref AS key, STRING(P.Size) AS size, UUID(P.Ref) AS id, STOREDDATASIZE(P.Description) AS bytes FROM Catalog.Parts AS P", "SELECT p_partkey AS key, p_size::VARCHAR AS size, p_partkey::VARCHAR AS id, strlen(p_name) AS bytes FROM part")
+q("vt_balance_conditioned", "SELECT T.Part AS part, T.Supplier AS supp, ROUND(T.QuantityBalance, 2) AS qty FROM AccumulationRegister.Stock.Balance(&At, ReturnFlag = \"A\") AS T",
+  "WITH b AS (SELECT l_partkey AS part, l_suppkey AS supp, sum(CASE WHEN l_linestatus='F' THEN l_quantity ELSE -l_quantity END) AS q, sum(CASE WHEN l_linestatus='F' THEN l_extendedprice ELSE -l_extendedprice END) AS a FROM lineitem WHERE l_returnflag = 'A' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY 1,2) SELECT part, supp, round(q,2) AS qty FROM b WHERE q <> 0 OR a <> 0", At=D(1997, 1, 1))
+q("vt_records_with_ext_dimensions", "SELECT R.Order AS ord, R.LineNumber AS line, R.ExtDimensionDr AS dr, R.ExtDimensionCr AS cr FROM AccountingRegister.Journal.RecordsWithExtDimensions() AS R", "SELECT l_orderkey AS ord, l_linenumber AS line, l_suppkey::VARCHAR AS dr, l_partkey::VARCHAR AS cr FROM lineitem")
+q("vt_actual_action_period", "SELECT C.employee AS employee, C.ActionPeriodBegin AS since, C.ActionPeriodEnd AS until, C.number AS number FROM CalculationRegister.Charges.ActualActionPeriod() AS C",
+  """WITH r AS (SELECT o_custkey AS e, o_orderdate AS b, o_orderdate + INTERVAL 30 DAY * substr(o_orderpriority,1,1)::INTEGER AS t, o_orderkey AS p FROM orders),
+ x AS (SELECT DISTINCT e, unnest([b, t]) AS x FROM r), s AS (SELECT e, x, lead(x) OVER (PARTITION BY e ORDER BY x) AS y FROM x QUALIFY y IS NOT NULL),
+ w AS (SELECT s.e, s.x, s.y, max(p) AS p FROM s JOIN r ON r.e = s.e AND r.b <= s.x AND s.y <= r.t GROUP BY ALL),
+ n AS (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY e, p ORDER BY x) = x THEN 0 ELSE 1 END AS new FROM w), k AS (SELECT *, sum(new) OVER (PARTITION BY e, p ORDER BY x) AS run FROM n)
+ SELECT e AS employee, min(x) AS since, max(y) AS until, p AS number FROM k GROUP BY e, p, run""")
+q("vt_schedule_data", "SELECT C.charge AS charge, C.ScheduleValue AS hours FROM CalculationRegister.Charges.ScheduleData() AS C",
+  "WITH d AS (SELECT o_custkey AS e, date_trunc('day', o_orderdate)::TIMESTAMP AS day, count(*) * 8.0::DOUBLE AS h FROM orders GROUP BY 1, 2), r AS (SELECT o_orderkey AS charge, o_custkey AS e, o_orderdate AS b, o_orderdate + INTERVAL 30 DAY * substr(o_orderpriority,1,1)::INTEGER AS t FROM orders) SELECT charge, coalesce(sum(h), 0) AS hours FROM r LEFT JOIN d ON d.e = r.e AND d.day >= r.b AND d.day <= r.t GROUP BY charge")
+q("vt_task_by_performer", "SELECT T.Ref AS task, T.Performer AS who FROM Task.Errands.TaskByPerformer() AS T",
+  "WITH a AS (SELECT CASE WHEN n_nationkey < 20 THEN n_nationkey END AS office, 'user'||n_regionkey AS person FROM nation) SELECT DISTINCT s_suppkey AS task, person AS who FROM supplier JOIN a ON a.office IS NULL OR a.office = s_nationkey")
 q("flagship_sales_by_period",
   "ВЫБРАТЬ\n\tНАЧАЛОПЕРИОДА(П.Период, МЕСЯЦ) КАК month,\n\tП.Товар.Марка КАК brand,\n\tОКР(СУММА(П.Количество), 2) КАК qty,\n\tОКР(СУММА(П.Сумма), 2) КАК amount\nИЗ РегистрНакопления.Продажи КАК П\nГДЕ П.Период МЕЖДУ &Начало И &Конец\nСГРУППИРОВАТЬ ПО НАЧАЛОПЕРИОДА(П.Период, МЕСЯЦ), П.Товар.Марка\nУПОРЯДОЧИТЬ ПО amount УБЫВ, month, brand // выручка",
   "SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS month, p_brand AS brand, round(sum(l_quantity),2) AS qty, round(sum(l_extendedprice),2) AS amount FROM lineitem LEFT JOIN part ON l_partkey=p_partkey WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1,2", Начало=D(1995, 1, 1), Конец=D(1996, 12, 31))

@@ -61,7 +61,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)
+    # a checkpoint keeps the constraints and size estimates of the plan it cuts; in loops they double with every round, so
+    # the stored rows are taken without them
+    session = df.sparkSession._jsparkSession
+    bare = session.internalCreateDataFrame(held._jdf.queryExecution().toRdd(), held._jdf.schema(), False)
+    return DataFrame(bare, df.sparkSession)
 
 
 def stored(df: DataFrame) -> DataFrame:
