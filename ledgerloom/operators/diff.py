@@ -33,3 +33,16 @@ def baseline(known: DataFrame, now: DataFrame, keys: Sequence[str]) -> DataFrame
     new = now.select(*keys).distinct().join(known.select(*keys), list(keys), "left_anti").withColumn("state", F.lit("new"))
     fixed = known.select(*keys).distinct().join(now.select(*keys), list(keys), "left_anti").withColumn("state", F.lit("fixed"))
     return new.unionByName(fixed)
+
+
+def change_counts(changes: DataFrame, kind: str) -> DataFrame:
+    """Per kind of record: how many were added, removed and modified."""
+    count = lambda what: F.count(F.when(F.col("change") == what, 1)).alias(what)
+    return changes.groupBy(kind).agg(count("added"), count("removed"), count("modified"))
+
+
+def text_report(changes: DataFrame, key: str) -> DataFrame:
+    """One readable line per change, in the order of the keys."""
+    mark = F.when(F.col("change") == "added", "+").when(F.col("change") == "removed", "-").otherwise("~")
+    fields = F.when(F.size("fields") > 0, F.concat(F.lit(" ("), F.array_join("fields", ", "), F.lit(")"))).otherwise("")
+    return changes.orderBy(key).select(F.concat(mark, F.lit(" "), F.col(key).cast("string"), fields).alias("value"))

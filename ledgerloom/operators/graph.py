@@ -16,14 +16,14 @@ def successors(edges: DataFrame, node: str) -> DataFrame:
     return edges.where(F.col("src") == node).select("dst", "relation").distinct()
 
 
-def transitive(edges: DataFrame, node: str, backwards: bool = False, max_depth: int = 64) -> DataFrame:
+def transitive(edges: DataFrame, node: str, backwards: bool = False) -> DataFrame:
     """node, depth of everything reachable: breadth-first rounds of one join each; known nodes are not visited again."""
     a, b = ("dst", "src") if backwards else ("src", "dst")
     links = edges.select(F.col(a).alias("at"), F.col(b).alias("next")).distinct()
     spark = edges.sparkSession
     seen = spark.createDataFrame([(node, 0)], "node string, depth int")
     frontier, depth = seen, 0
-    while depth < max_depth:
+    while True:
         depth += 1
         step = links.join(frontier.select(F.col("node").alias("at")), "at").select(F.col("next").alias("node")).distinct()
         frontier = checkpointed(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
@@ -33,41 +33,58 @@ def transitive(edges: DataFrame, node: str, backwards: bool = False, max_depth:
     return seen.where("depth > 0")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 64) -> list[str]:
-    """Nodes of a shortest directed path (the least one by name of predecessors), empty if there is none."""
+def shortest_path(edges: DataFrame, start: str, goal: str) -> list[str]:
+    """Nodes of a shortest directed path (of several the one whose nodes come first), empty if there is none."""
+    if start == goal:
+        return [start]
     links = edges.select("src", "dst").distinct()
-    seen = edges.sparkSession.createDataFrame([(start, None, 0)], "node string, via string, depth int")
-    frontier, depth = seen, 0
-    found = start == goal
-    while not found and depth < max_depth:
-        depth += 1
-        step = links.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via")).withColumn("depth", F.lit(depth))
+    seen = edges.sparkSession.createDataFrame([(start, [start])], "node string, path array<string>")
+    frontier = seen
+    while True:
+        step = links.join(frontier.select(F.col("node").alias("src"), "path"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         frontier = checkpointed(step.join(seen.select("node"), "node", "left_anti"))
         if frontier.isEmpty():
             return []
-        seen = checkpointed(seen.unionByName(frontier))
-        found = not frontier.where(F.col("node") == goal).isEmpty()
-    if not found:
-        return []
-    path = [goal]
-    while path[-1] != start:  # one look-up per step of the path, at most max_depth
-        path.append(seen.where(F.col("node") == path[-1]).first().via)
-    return path[::-1]
-
-
-def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """path: simple cycles up to a length, each once, starting at its least node."""
-    links = checkpointed(edges.select("src", "dst").distinct().where("src <> dst"))
+        hit = frontier.where(F.col("node") == goal).first()
+        if hit:
+            return list(hit.path)
+        seen = checkpointed(seen.select("node", F.lit(None).cast("array<string>").alias("path")).unionByName(frontier))
+
+
+def join_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
+    """step, src, dst, detail: the references to join along, from one table to another (edges: src, dst, relation, detail)."""
+    path = shortest_path(edges, start, goal)
+    steps = edges.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(path, path[1:]), 1)], "step int, src string, dst string")
+    return F.broadcast(steps).join(edges.select("src", "dst", "detail"), ["src", "dst"]).groupBy("step", "src", "dst").agg(F.min("detail").alias("detail"))
+
+
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges that lie on cycles or on ways between them: nodes without a way in or a way out are dropped until none is left.
+    Empty exactly if the graph has no cycle."""
+    core = checkpointed(edges.select("src", "dst").distinct())
+    size = -1
+    while (count := core.count()) != size:
+        size = count
+        inner = core.select(F.col("src").alias("n")).intersect(core.select(F.col("dst").alias("n")))
+        core = checkpointed(core.join(inner.select(F.col("n").alias("src")), "src", "left_semi").join(inner.select(F.col("n").alias("dst")), "dst", "left_semi"))
+    return core
+
+
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """path: simple cycles, each once, starting at its least node; only those up to a length if one is given (their number
+    can grow beyond measure).  Looked for in the cyclic core only; ends when no path can be made longer."""
+    links = cyclic_core(edges.where("src <> dst"))
     paths = links.where("src < dst").select(F.array("src", "dst").alias("path"))
-    found = None
-    for _ in range(2, max_length + 1):
+    found, length = None, 1
+    while max_length is None or length < max_length:
+        length += 1
         grown = paths.withColumn("at", F.element_at("path", -1)).join(links, F.col("at") == F.col("src")).select("path", "dst")
-        closed = grown.where(F.col("dst") == F.col("path")[0]).select("path")
+        closed = checkpointed(grown.where(F.col("dst") == F.col("path")[0]).select("path"))
         found = closed if found is None else found.unionByName(closed)
         paths = checkpointed(grown.where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
         if paths.isEmpty():
             break
-    return found
+    return paths.limit(0) if found is None else found
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:

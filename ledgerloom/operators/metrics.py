@@ -57,26 +57,35 @@ def verdict(violations: DataFrame, subject: str, severity: str, rule: str) -> Da
 
 def rate_limit(events: DataFrame, key: str, ts: str, limit: int = 100, seconds: int = 60) -> DataFrame:
     """events with ``accepted``: a call is accepted if fewer than ``limit`` accepted calls of its key lie in the window
-    before it.  Rejected calls do not count, so the decision depends on the order; a key is read in time order, holding
-    only its window of at most ``limit`` times."""
+    before it.  Rejected calls do not count, so the decision depends on the order of the calls; null times are refused.
+
+    After a pause as long as the window nothing before it matters: a key's calls fall into stretches without such a pause,
+    found by a window on the JVM, and each stretch is read for itself, holding at most ``limit`` times.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", accepted boolean"
+    order = [ts, *[c for c in events.columns if c not in (key, ts)]]
+    w = Window.partitionBy(key).orderBy(*order)
+    pause = F.coalesce(F.col(ts).cast("timestamp").cast("double") - F.lag(ts).over(w).cast("timestamp").cast("double") >= seconds, F.lit(True))
+    parts = events.withColumn("__new", F.when(pause, 1).otherwise(0)).withColumn("__part", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, window = None, []
         for b in batches:
             flags = []
-            for k, t in zip(b[key], b[ts]):
-                if k != current:
-                    current, window = k, []
+            for k, part, t in zip(b[key], b["__part"], b[ts]):
+                if (k, part) != current:
+                    current, window = (k, part), []
+                if pd.isna(t):
+                    flags.append(False)
+                    continue
                 window = [x for x in window if (t - x).total_seconds() < seconds]
                 ok = len(window) < limit
                 if ok:
                     window.append(t)
                 flags.append(ok)
-            yield b.assign(accepted=flags)
+            yield b.drop(columns="__part").assign(accepted=flags)
 
-    placed = events.repartition(key).sortWithinPartitions(key, ts, *[c for c in events.columns if c not in (key, ts)])
-    return placed.mapInPandas(run, schema)
+    return parts.repartition(key, "__part").sortWithinPartitions(key, "__part", *order).mapInPandas(run, schema)
 
 
 def ttl_fifo(items: DataFrame, owner: str, ts: str, tie: str, now: Column, ttl_seconds: int = 3600, cap: int = 20) -> DataFrame:
@@ -117,6 +126,15 @@ def health(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("issues", issues).withColumn("health", score.cast("bigint"))
 
 
+def metric_summary(metrics: DataFrame) -> DataFrame:
+    """One row: files, sums and averages of the code metrics, and the hours of debt (an hour for each oversized file, five
+    minutes for each branch over ten)."""
+    god = (F.col("total") > 1000) | (F.col("methods") > 50)
+    debt = F.sum(F.when(god, 60).otherwise(0) + 5 * F.greatest(F.lit(0), F.col("cyclomatic") - 10))
+    sums = [F.sum(c).alias(c) for c in ("total", "code", "comment", "blank", "methods", "cyclomatic")]
+    return metrics.agg(F.count(F.lit(1)).alias("files"), *sums, F.round(F.avg("cyclomatic"), 4).alias("avg_cyclomatic"), F.max("cyclomatic").alias("max_cyclomatic"), F.round(debt / 60, 4).alias("debt_hours"))
+
+
 def duplicate_blocks(code: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
     """Blocks of ``size`` consecutive code lines (without blank and comment lines) that occur more than once in the table:
     block hash, occurrences, files.  Blocks are hashed where they are read; only hashes are shuffled, partly summed."""
@@ -125,3 +143,12 @@ def duplicate_blocks(code: DataFrame, key: str, text: str, size: int = 6) -> Dat
     hashed = code.where(F.col(text).isNotNull()).select(key, kept.alias("k")).where(F.size("k") >= size).select(key, F.explode(blocks).alias("block"))
     per_file = hashed.groupBy("block", key).agg(F.count(F.lit(1)).alias("n"))
     return per_file.groupBy("block").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files")).where("occurrences > 1")
+
+
+def duplicates_per_file(code: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
+    """key, n: how many blocks of ``size`` code lines of a file are copies of an earlier one in it; the last block of a file
+    is not looked at."""
+    kept = F.filter(F.transform(F.split(F.col(text), r"\r\n|\n|\r"), F.trim), lambda x: (x != "") & ~x.startswith("//"))
+    blocks = F.transform(F.sequence(F.lit(1), F.size("k") - size), lambda i: F.xxhash64(F.array_join(F.slice("k", i, size), "\n")))
+    held = code.where(F.col(text).isNotNull()).select(key, kept.alias("k")).where(F.size("k") > size).select(key, blocks.alias("b"))
+    return held.select(key, (F.size("b") - F.size(F.array_distinct("b"))).alias("n")).where("n > 0")

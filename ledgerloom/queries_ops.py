@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as tx
-from ledgerloom.operators import diff, graph, hierarchy, metrics, reports, rules, search
+from ledgerloom.operators import code, diff, graph, hierarchy, metrics, reports, rules, search
 from ledgerloom.sources.metadata import strip_html
 from ledgerloom.sources.sinks import sarif_results
-from ledgerloom.session import spread, table
+from ledgerloom.session import shared_folder, spread, table
 from ledgerloom.streaming import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,7 +249,7 @@ def rule_lines_core(spark, d):
     return rules.check_lines(lines, chosen).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(rules.lines_sql("SELECT module_id, unnest(t) AS text, generate_subscripts(t, 1)::INTEGER AS line FROM (SELECT module_id, regexp_split_to_array(bsl_code, '\\r\\n|\\n|\\r') AS t FROM bsl_modules WHERE bsl_code IS NOT NULL)"))
 def rule_lines_all(spark, d):
     return rules.check_lines(rules.source_lines(spread(table(spark, d, "bsl_modules").select("module_id", "bsl_code")), "module_id", "bsl_code"))
 
@@ -264,9 +264,26 @@ def rule_stateful(spark, d):
     return rules.check_stateful(table(spark, d, "bsl_modules").select("module_id", "bsl_code"), "module_id", "bsl_code")
 
 
-@query()
+_QUERY_SOURCES = r"""SELECT 'documents' AS src, doc_id AS rec_id, i::INTEGER AS pos, regexp_extract(b, '(?is)(?:^|\n)[ \t]*((?:выбрать|select)[ \t\n].*)$', 1) AS query FROM (SELECT doc_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '\n[ \t]*\n|```') AS bs FROM documents WHERE text IS NOT NULL)) WHERE regexp_matches(lower(regexp_extract(b, '(?is)(?:^|\n)[ \t]*((?:выбрать|select)[ \t\n].*)$', 1)), '[\s](из|from)\s')
+ UNION ALL SELECT 'bsl_modules', module_id, i::INTEGER, regexp_replace(replace(m, '""', '"'), '(\r\n|\n|\r)[ \t]*[|]?', chr(10), 'g') FROM (SELECT module_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT module_id, regexp_extract_all(bsl_code, '(?i)(?:запрос\.?текст|\.?текст|\.?text|query\.text|текстзапроса|querytext)\s*=\s*"((?:[^"]|"")*)"', 1) AS ms FROM bsl_modules WHERE bsl_code IS NOT NULL)) WHERE trim(m) <> ''"""
+
+
+def _query_texts(spark, d):
+    docs = code.query_blocks(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text").select(F.lit("documents").alias("src"), F.col("doc_id").alias("rec_id"), "pos", "query")
+    modules = code.query_texts(spread(table(spark, d, "bsl_modules").select("module_id", "bsl_code")), "module_id", "bsl_code")
+    return docs.unionByName(modules.select(F.lit("bsl_modules").alias("src"), F.col("module_id").alias("rec_id"), "pos", "query"))
+
+
+@query(_QUERY_SOURCES)
+def code_query_texts(spark, d):
+    """Every query text in documents and in string literals of source modules."""
+    return _query_texts(spark, d)
+
+
+@query(rules.queries_sql(_QUERY_SOURCES))
 def rule_query_texts(spark, d):
-    return rules.check_queries(table(spark, d, "documents").where(F.col("text").rlike(r"(?iu)^\s*(выбрать|select)\s")), "doc_id", "text")
+    """All query rules over all of them."""
+    return rules.check_queries(_query_texts(spark, d), "rec_id", "query").select("src", "rec_id", "pos", "rule_id")
 
 
 @query()
@@ -380,33 +397,35 @@ def report_chart_filtered(spark, d):
     return reports.chart(table(spark, d, "part").where(cond), "p_brand", "p_type", "Среднее", "p_size").withColumnsRenamed({"p_brand": "brand", "p_type": "kind"})
 
 
-# -- streams (rows only); windows and sessions in complete mode: at the end of the input those still open come out too
+# -- streams; windows and sessions in complete mode: at the end of the input those still open come out too
 def _stream(spark, d):
     return pipelines.event_stream(spark, d, spark.read.parquet(f"{d}/events.parquet").schema)
 
 
 def _drain(df, name, mode="append"):
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="ledgerloom-stream-") if named is None else f"{named.rstrip('/')}/stream-{name}-{id(df)}"
-    return pipelines.drain(df, name, folder, mode)
+    return pipelines.drain(df, f"{shared_folder(df.sparkSession)}/streams/{name}-{uuid.uuid4().hex}", mode)
 
 
-@query()
+_TIMES = "SELECT {w} AS start, {w} + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events{x} GROUP BY ALL"
+
+
+@query(_TIMES.format(w="date_trunc('hour', ts)::TIMESTAMP", x=""))
 def stream_tumbling(spark, d):
     return _drain(pipelines.windowed(_stream(spark, d), "1 hour"), "stream_tumbling", "complete")
 
 
-@query()
+@query(_TIMES.format(w="time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k", x=", (SELECT unnest([0, 1]) AS k)"))
 def stream_sliding(spark, d):
     return _drain(pipelines.windowed(_stream(spark, d), "1 hour", "30 minutes"), "stream_sliding", "complete")
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark, d):
     return _drain(pipelines.sessions(_stream(spark, d), "30 minutes"), "stream_session", "complete")
 
 
-@query()
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_dedupe(spark, d):
     return _drain(pipelines.deduplicated(_stream(spark, d), "event_id"), "stream_dedupe")
 

@@ -263,13 +263,14 @@ def read_container(data: bytes) -> list[tuple[str, bytes]]:
 def scan_containers(spark: SparkSession, path: str, glob: str = "*.c[f]*") -> DataFrame:
     """Files inside binary containers, nested ones opened too."""
 
-    def parse(p: str, c: bytes, prefix: str = "", depth: int = 0) -> list[dict]:
-        out = []
-        for name, body in read_container(c):
-            here = f"{prefix}{name}"
-            out.append({"path": p, "name": here, "size": len(body), "content": body})
-            if depth < 3 and body[:4] in (b"\xff\xff\xff\x7f", b"\xff\xff\xff\xff"):
-                out += parse(p, body, here + "/", depth + 1)
+    def parse(p: str, c: bytes) -> list[dict]:
+        out, waiting = [], [("", c)]
+        while waiting:  # containers within containers, however deep
+            prefix, data = waiting.pop()
+            for name, body in read_container(data):
+                out.append({"path": p, "name": prefix + name, "size": len(body), "content": body})
+                if body[:4] in (b"\xff\xff\xff\x7f", b"\xff\xff\xff\xff") and body != data:
+                    waiting.append((f"{prefix}{name}/", body))
         return out
 
     return _scan(_files(spark, path, glob), parse, ENTRY)
@@ -283,3 +284,103 @@ def unescape_pages(df: DataFrame, column: str) -> DataFrame:
         return x.map(lambda t: html.unescape(t) if isinstance(t, str) else None)
 
     return df.withColumn(column, run(column))
+
+
+# -- further parts of an export
+VERSION = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "name", "id", "config_version")])
+
+
+def scan_dump_info(spark: SparkSession, path: str) -> DataFrame:
+    """name, id and version of every object in ConfigDumpInfo.xml, nested ones too."""
+
+    def parse(p: str, c: bytes) -> list[dict]:
+        return [{"path": p, "name": e.get("name"), "id": e.get("id"), "config_version": e.get("configVersion")} for e in ET.fromstring(c).iter() if local(e.tag) == "Metadata" and e.get("name")]
+
+    return _scan(_files(spark, path, "ConfigDumpInfo.xml"), parse, VERSION)
+
+
+def configuration(objects: DataFrame) -> DataFrame:
+    """name, synonym, version, vendor, compatibility and the list of objects of Configuration.xml."""
+    p = lambda k: F.try_element_at("properties", F.lit(k))
+    own = objects.where("type = 'Configuration'")
+    return own.select("name", "synonym", p("Version").alias("version"), p("Vendor").alias("vendor"), p("CompatibilityMode").alias("compatibility"), F.transform("children", lambda c: F.concat_ws(".", c["kind"], c["name"])).alias("objects"))
+
+
+def config_index(objects: DataFrame, versions: DataFrame) -> DataFrame:
+    """The objects that Configuration.xml lists, with what their own files and the dump's versions say: type, name, uuid,
+    synonym, config_version; a listed object without a file stays, with nulls."""
+    listed = configuration(objects).select(F.explode("objects").alias("full_name"))
+    own = objects.where("type <> 'Configuration' AND error IS NULL").select(F.concat_ws(".", "type", "name").alias("full_name"), "uuid", "synonym")
+    dumped = versions.select(F.col("name").alias("full_name"), "config_version").dropDuplicates(["full_name"])
+    joined = listed.join(own, "full_name", "left").join(dumped, "full_name", "left")
+    return joined.select(F.substring_index("full_name", ".", 1).alias("type"), F.expr("substring(full_name, instr(full_name, '.') + 1)").alias("name"), "uuid", "synonym", "config_version")
+
+
+def subsystem_contents(objects: DataFrame) -> DataFrame:
+    """subsystem, object: what each subsystem holds."""
+    return objects.where("type = 'Subsystem'").select(F.col("name").alias("subsystem"), F.explode(F.regexp_extract_all(F.coalesce(F.try_element_at("properties", F.lit("Content")), F.lit("")), F.lit(r"([\p{L}\p{N}_]+\.[\p{L}\p{N}_]+)"), F.lit(1))).alias("object"))
+
+
+def subscriptions(objects: DataFrame) -> DataFrame:
+    """name, kind, source, event, handler, schedule of event subscriptions and scheduled jobs."""
+    p = lambda k: F.try_element_at("properties", F.lit(k))
+    return objects.where("type IN ('EventSubscription', 'ScheduledJob')").select("name", F.col("type").alias("kind"), p("Source").alias("source"), p("Event").alias("event"), F.coalesce(p("Handler"), p("MethodName")).alias("handler"), p("Schedule").alias("schedule"))
+
+
+def listing_edges(objects: DataFrame) -> DataFrame:
+    """src, dst, relation, detail beyond attribute references: recorders, subsystems and subscriptions."""
+    ref = r"(Catalog|Document|Enum|InformationRegister|AccumulationRegister|AccountingRegister)(?:Ref|Object|RecordSet)?\.([\p{L}\p{N}_]+)"
+
+    def named(df: DataFrame, src: str, text: str, relation: str) -> DataFrame:
+        each = df.select(F.col(src).alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(ref), F.lit(0))).alias("m"))
+        return each.select("src", F.concat_ws(".", F.regexp_extract("m", ref, 1), F.regexp_extract("m", ref, 2)).alias("dst"), F.lit(relation).alias("relation"), F.lit("").alias("detail"))
+
+    p = lambda k: F.try_element_at("properties", F.lit(k))
+    full = objects.where("error IS NULL").withColumn("full", F.concat_ws(".", "type", "name"))
+    recorders = full.where("type = 'Document'").withColumn("text", p("RegisterRecords"))
+    contents = subsystem_contents(objects).select(F.concat(F.lit("Subsystem."), "subsystem").alias("full"), F.col("object").alias("text"))
+    subs = subscriptions(objects).where("kind = 'EventSubscription'").select(F.concat(F.lit("EventSubscription."), "name").alias("full"), F.col("source").alias("text"))
+    return named(recorders, "full", "text", "recorder").unionByName(named(contents, "full", "text", "subsystem")).unionByName(named(subs, "full", "text", "subscription")).distinct()
+
+
+def scan_listing(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, length of every file below the folders called Ext; contents are not read."""
+    files = _files(spark, path, "*").select("path", "length")
+    return files.where(F.col("path").contains("/Ext/")).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+
+
+def scan_linter_report(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, code, severity, message of an external linter's JSON report."""
+    place = "struct<start:struct<line:int>>"
+    schema = f"fileinfos array<struct<path:string, diagnostics:array<struct<code:string, severity:string, message:string, range:{place}>>>>"
+    read = spark.read.schema(schema).option("multiLine", "true").json(path)
+    files = read.select(F.explode("fileinfos").alias("f")).select(F.col("f.path").alias("path"), F.explode("f.diagnostics").alias("d"))
+    return files.select("path", (F.col("d.range.start.line") + 1).alias("line"), F.col("d.code").alias("code"), F.col("d.severity").alias("severity"), F.col("d.message").alias("message"))
+
+
+def scan_knowledge(spark: SparkSession, path: str) -> DataFrame:
+    """id, title, category, keywords, content of a knowledge base: an index.json and the Markdown files it names."""
+    item = "struct<id:string, title:string, file:string, keywords:array<string>>"
+    index = spark.read.schema(f"categories map<string, struct<items:array<{item}>>>").option("multiLine", "true").json(f"{path}/index.json")
+    items = index.select(F.explode("categories").alias("category", "c")).select("category", F.inline("c.items"))
+    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("f"), F.col("value").alias("content"))
+    return items.withColumn("f", F.regexp_extract("file", r"([^/]+)$", 1)).join(texts, "f", "left").select("id", "title", "category", "keywords", "content")
+
+
+def scan_help_books(spark: SparkSession, path: str, glob: str = "*.hbk") -> DataFrame:
+    """Pages of help books: a container whose file storage is a ZIP archive; path, page, html."""
+    import io
+    import zipfile
+
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "page", "html")])
+
+    def parse(p: str, c: bytes) -> list[dict]:
+        out = []
+        for name, body in [*read_container(c), ("", c)]:
+            if body[:4] != b"PK\x03\x04":
+                continue
+            with zipfile.ZipFile(io.BytesIO(body)) as z:
+                out += [{"path": p, "page": i.filename, "html": z.read(i).decode("utf-8-sig", "replace")} for i in z.infolist() if not i.is_dir()]
+        return out
+
+    return _scan(_files(spark, path, glob), parse, schema)

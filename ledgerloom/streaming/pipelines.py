@@ -36,9 +36,14 @@ def deduplicated(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame
 
 
 def rate_limited(events: DataFrame, key: str, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """key, ts, accepted: the sliding-window limit per key; the state holds at most ``limit`` times per key."""
+    """key, ts, accepted: the sliding-window limit per key; the state holds at most ``limit`` times per key, and is dropped
+    when a key has been silent for longer than the window on the clock.  Calls are taken in the order of their times within
+    a micro-batch, and batch after batch in the order they arrive."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         window = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches)).sort_values("ts")
         flags = []
@@ -50,9 +55,10 @@ def rate_limited(events: DataFrame, key: str, limit: int = 100, seconds: int = 6
                 window.append(at)
             flags.append(ok)
         state.update((window,))
+        state.setTimeoutDuration(max(1000, seconds * 1000))
         yield pd.DataFrame({"key": [str(k[0])] * len(pdf), "ts": pdf["ts"], "accepted": flags})
 
-    return events.groupBy(key).applyInPandasWithState(run, "key string, ts timestamp, accepted boolean", "window array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, "key string, ts timestamp, accepted boolean", "window array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def new_against_baseline(stream: DataFrame, baseline: DataFrame, key: str, target: str, checkpoint: str):
@@ -64,8 +70,16 @@ def new_against_baseline(stream: DataFrame, baseline: DataFrame, key: str, targe
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream to the end of its input into an in-memory table and return it."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream to the end of its input and return what it gave, read from files below ``folder``.
+
+    In append mode every batch writes its own part, again under the same name if it is repeated; in complete mode each
+    batch replaces the whole result, so at the end windows and sessions still open are there too.
+    """
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={epoch if mode == 'append' else 0}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")

@@ -221,9 +221,9 @@ def test_streams(spark, data, tmp_path):
     schema = spark.read.parquet(f"{data}/events.parquet").schema
     stream = pipelines.event_stream(spark, data, schema)
     batch = spark.read.parquet(f"{data}/events.parquet")
-    tumbling = pipelines.drain(pipelines.windowed(stream, "1 hour"), "t_tumbling", str(tmp_path / "a"), "complete")
+    tumbling = pipelines.drain(pipelines.windowed(stream, "1 hour"), str(tmp_path / "a"), "complete")
     assert tumbling.agg(F.sum("n")).first()[0] == batch.count()
-    limited = pipelines.drain(pipelines.rate_limited(stream, "event_type", 5, 600), "t_limit", str(tmp_path / "b"))
+    limited = pipelines.drain(pipelines.rate_limited(stream, "event_type", 5, 600), str(tmp_path / "b"))
     want = metrics.rate_limit(batch.withColumn("ts", F.col("ts").cast("timestamp")).select("event_type", "ts"), "event_type", "ts", 5, 600)
     assert limited.where("accepted").count() == want.where("accepted").count()
     q = pipelines.new_against_baseline(stream, batch.where("event_id > 100"), "event_id", str(tmp_path / "new"), str(tmp_path / "c"))
