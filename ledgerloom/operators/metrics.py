@@ -149,6 +149,6 @@ def duplicates_per_file(code: DataFrame, key: str, text: str, size: int = 6) ->
     """key, n: how many blocks of ``size`` code lines of a file are copies of an earlier one in it; the last block of a file
     is not looked at."""
     kept = F.filter(F.transform(F.split(F.col(text), r"\r\n|\n|\r"), F.trim), lambda x: (x != "") & ~x.startswith("//"))
-    blocks = F.transform(F.sequence(F.lit(1), F.size("k") - size), lambda i: F.xxhash64(F.array_join(F.slice("k", i, size), "\n")))
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size("k") - size, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("k", i, size), "\n")))
     held = code.where(F.col(text).isNotNull()).select(key, kept.alias("k")).where(F.size("k") > size).select(key, blocks.alias("b"))
     return held.select(key, (F.size("b") - F.size(F.array_distinct("b"))).alias("n")).where("n > 0")

@@ -187,7 +187,7 @@ def scan_forms(spark: SparkSession, path: str, glob: str = "Form.xml") -> DataFr
 
 def scan_modules(spark: SparkSession, path: str) -> DataFrame:
     """path, module, code of source modules, read whole."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bsl").text(path).withColumn("path", F.input_file_name())
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.bsl").text(path, wholetext=True).withColumn("path", F.input_file_name())
     return raw.select("path", F.regexp_extract("path", r"/([^/]+)/Ext/", 1).alias("module"), F.col("value").alias("code"))
 
 
@@ -363,7 +363,7 @@ def scan_knowledge(spark: SparkSession, path: str) -> DataFrame:
     item = "struct<id:string, title:string, file:string, keywords:array<string>>"
     index = spark.read.schema(f"categories map<string, struct<items:array<{item}>>>").option("multiLine", "true").json(f"{path}/index.json")
     items = index.select(F.explode("categories").alias("category", "c")).select("category", F.inline("c.items"))
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("f"), F.col("value").alias("content"))
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("f"), F.col("value").alias("content"))
     return items.withColumn("f", F.regexp_extract("file", r"([^/]+)$", 1)).join(texts, "f", "left").select("id", "title", "category", "keywords", "content")
 
 
