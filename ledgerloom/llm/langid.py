@@ -127,7 +127,7 @@ def weighted(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, feature, (value / np.maximum(norm[row], 1e-9)).astype(np.float32)
 
 
-def _ftrl(texts: list[str], labels: np.ndarray, importance: np.ndarray, idf: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int, batch: int = 64):
+def _ftrl(texts: list[str], labels: np.ndarray, importance: np.ndarray, idf: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float, seed: int, batch: int = 128):
     d, k = 1 << BITS, len(LANGUAGES)
     row, feature, value = weighted(texts, idf)
     bounds = np.searchsorted(row, np.arange(len(texts) + 1))
