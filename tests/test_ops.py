@@ -59,7 +59,7 @@ def test_vector_search_is_exact(spark, data):
     pdf = v.toPandas()
     m = np.array(pdf["embedding"].tolist(), dtype=float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
-    got = search.cosine_top(v, "vec_id", "embedding", v.where("vec_id % 50 = 0"), 5, block=4, chunks=3).collect()
+    got = search.cosine_top(v, "vec_id", "embedding", v.where("vec_id % 50 = 0"), 5, block=4, chunk=200).collect()
     for q in {r.query for r in got}:
         s = m @ m[pdf.index[pdf.vec_id == q][0]]
         want = pdf.vec_id.to_numpy()[np.lexsort((pdf.vec_id, -np.round(s, 9)))[:5]]
