@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 # fixed values: endings cut off by the stemmer, in the order in which they are tried
 RU_ENDINGS = (
-    "ыми ях ах ого ому ему ом ой ое ую юю ая яя ые ие ых их ыми ими ыми их ых ам ям ами ями ом ем ами ями ть тся ться лся лась ться ешь ишь ете ите ут ют ат ят ал ял ала яла али яли "
-    "анный енный ный ный ная ное ные ного ной ным ном нами ность ние ния ний нем нами а я о е у ю и ы ь"
+    "ыми ях ах ого ому ему ом ой ое ую юю ая яя ые ие ых их ими ам ям ами ями ем ть тся ться лся лась ешь ишь ете ите ут ют ат ят ал ял ала яла али яли "
+    "анный енный ный ная ное ные ного ной ным ном нами ность ние ния ний нем а я о е у ю и ы ь"
 ).split()
-EN_ENDINGS = "ization ational fulness ousness iveness tional ation ement ness ions ing ied ies ied ier iest ed es ly ment tion sion ence ance able ible al er est s".split()
+EN_ENDINGS = "ization ational fulness ousness iveness tional ation ement ness ions ing ied ies ier iest ed es ly ment tion sion ence ance able ible al er est s".split()
 
 _RUN = regex.compile(r"\p{L}+")
 _BORDER = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})")

@@ -80,6 +80,10 @@ class TextIndex:
         total = sizes.agg(F.sum("len")).first()[0] or 0
         return cls(key, held, sizes, n, total / n if n else 0.0)
 
+    def statistics(self) -> DataFrame:
+        """docs, terms, postings, avg_len: one row."""
+        return self.postings.agg(F.count_distinct("term").alias("terms"), F.count(F.lit(1)).alias("postings")).select(F.lit(self.n).alias("docs"), "terms", "postings", F.round(F.lit(self.avg_len), 6).alias("avg_len"))
+
     def _hits(self, query: Sequence[str]) -> DataFrame:
         return self.postings.where(F.col("term").isin(sorted(set(query))))
 

@@ -3,6 +3,7 @@ express them."""
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Callable
 
@@ -395,3 +396,36 @@ def sink_sarif(spark, d):
     v = table(spark, d, "context_violations").where("upper(severity) IN ('CRITICAL', 'HIGH')")
     out = sinks.sarif_results(v.withColumn("path", F.col("violation_id").cast("string")), "path", "line")
     return out.select(F.get_json_object("result", "$.locations[0].physicalLocation.artifactLocation.uri").cast("bigint").alias("id"), F.get_json_object("result", "$.level").alias("level"))
+
+
+@query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[а-яёa-z0-9]+')) AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL) SELECT (SELECT n FROM n)::INTEGER AS docs, count(DISTINCT w) AS terms, (SELECT count(*) FROM (SELECT DISTINCT doc_id, w FROM t)) AS postings, round(count(*) / (SELECT n FROM n)::DOUBLE, 6) AS avg_len FROM t")
+def search_index_statistics(spark, d):
+    return _index(spark, d).statistics().withColumn("docs", F.col("docs").cast("int"))
+
+
+def _block(body: bytes) -> bytes:
+    return b"\r\n%08x %08x %08x \r\n" % (len(body), len(body), 0x7FFFFFFF) + body
+
+
+def _container(name: str, body: bytes) -> bytes:
+    """A container of one file."""
+    head = _block(b"\0" * 20 + name.encode("utf-16-le") + b"\0\0")
+    at = 16 + len(_block(b"\0" * 12))
+    return b"\xff\xff\xff\x7f" + b"\0" * 12 + _block(struct.pack("<III", at, at + len(head), 0x7FFFFFFF)) + head + _block(body)
+
+
+@query("SELECT unnest(['а', 'а/б', 'а/б/в', 'а/б/в/г', 'а/б/в/г/текст']) AS name, unnest([NULL, NULL, NULL, NULL, 'ядро']) AS inner_text")
+def source_container(spark, d):
+    """A container within a container, five deep."""
+    data = "ядро".encode()
+    for name in ("текст", "г", "в", "б", "а"):
+        data = _container(name, data)
+    df = spark.createDataFrame([("x.cf", data)], "path string, content binary")
+    out = metadata.open_containers(df)
+    return out.select("name", F.when(F.col("name").endswith("текст"), F.col("content").cast("string")).alias("inner_text"))
+
+
+@query("SELECT 1::BIGINT AS id, 'Метод & имя' AS title, '8.3.9' AS version_since, NULL AS version_deprecated, true AS thin_client, true AS server, false AS web_client")
+def source_help_pages(spark, d):
+    df = spark.createDataFrame([(1, "<html><h1>Метод &amp; имя</h1><p>Доступен с 8.3.9. Тонкий клиент, сервер.</p></html>")], "id long, page string")
+    return metadata.help_pages(df, "id", "page").select("id", "title", "version_since", "version_deprecated", "thin_client", "server", "web_client")

@@ -433,3 +433,17 @@ def stream_dedupe(spark, d):
 @query()
 def stream_rate_limit(spark, d):
     return _drain(pipelines.rate_limited(_stream(spark, d), "event_type", 5, 600), "stream_rate_limit")
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, user_id % 20 AS tool, count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, round(avg(value), 6) AS avg_latency FROM events GROUP BY ALL")
+def stream_running_sli(spark, d):
+    calls = _stream(spark, d).select("ts", (F.col("user_id") % 20).alias("tool"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"))
+    return _drain(pipelines.running_sli(calls, "1 day"), "stream_running_sli", "complete")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view')")
+def stream_new_against_baseline(spark, d):
+    folder = f"{shared_folder(spark)}/streams/new-{uuid.uuid4().hex}"
+    known = table(spark, d, "events").where("event_type = 'view'")
+    pipelines.new_against_baseline(_stream(spark, d).select("event_id", "user_id"), known, "event_id", f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("event_id", "user_id")

@@ -260,20 +260,25 @@ def read_container(data: bytes) -> list[tuple[str, bytes]]:
     return files
 
 
+def _open_all(p: str, c: bytes) -> list[dict]:
+    out, waiting = [], [("", c)]
+    while waiting:  # containers within containers, however deep
+        prefix, data = waiting.pop()
+        for name, body in read_container(data):
+            out.append({"path": p, "name": prefix + name, "size": len(body), "content": body})
+            if body[:4] in (b"\xff\xff\xff\x7f", b"\xff\xff\xff\xff") and body != data:
+                waiting.append((f"{prefix}{name}/", body))
+    return out
+
+
 def scan_containers(spark: SparkSession, path: str, glob: str = "*.c[f]*") -> DataFrame:
     """Files inside binary containers, nested ones opened too."""
+    return open_containers(_files(spark, path, glob))
 
-    def parse(p: str, c: bytes) -> list[dict]:
-        out, waiting = [], [("", c)]
-        while waiting:  # containers within containers, however deep
-            prefix, data = waiting.pop()
-            for name, body in read_container(data):
-                out.append({"path": p, "name": prefix + name, "size": len(body), "content": body})
-                if body[:4] in (b"\xff\xff\xff\x7f", b"\xff\xff\xff\xff") and body != data:
-                    waiting.append((f"{prefix}{name}/", body))
-        return out
 
-    return _scan(_files(spark, path, glob), parse, ENTRY)
+def open_containers(files: DataFrame) -> DataFrame:
+    """path, name, size, content of the files inside the containers of a table (path, content)."""
+    return _scan(files, _open_all, ENTRY)
 
 
 def unescape_pages(df: DataFrame, column: str) -> DataFrame:

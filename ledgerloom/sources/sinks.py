@@ -67,3 +67,27 @@ def load_published(spark: SparkSession, target: str, expected: dict | None = Non
     if any(meta.get(k) != v for k, v in (expected or {}).items()) or content_hash(df) != meta["checksum"]:
         return None
     return df
+
+
+# -- which files have changed, and which configurations there are
+def stale_files(listing: DataFrame, known: DataFrame) -> DataFrame:
+    """path, state ('new', 'changed', 'gone') of a listing (path, length, modificationTime) against the one kept before."""
+    now = listing.select("path", F.struct("length", "modificationTime").alias("now"))
+    then = known.select("path", F.struct("length", "modificationTime").alias("then"))
+    state = F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.col("now") != F.col("then"), "changed")
+    return now.join(then, "path", "full").select("path", state.alias("state")).where("state IS NOT NULL")
+
+
+def registry_put(spark: SparkSession, target: str, name: str, path: str) -> None:
+    """Add a configuration to the registry, or give it another path: an entry is appended, the latest one counts."""
+    spark.createDataFrame([(name, path, False)], "name string, path string, removed boolean").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(target)
+
+
+def registry_remove(spark: SparkSession, target: str, name: str) -> None:
+    spark.createDataFrame([(name, None, True)], "name string, path string, removed boolean").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(target)
+
+
+def registry_list(spark: SparkSession, target: str) -> DataFrame:
+    """name, path of the configurations that are registered."""
+    latest = spark.read.parquet(target).groupBy("name").agg(F.max_by(F.struct("path", "removed"), "at").alias("x"))
+    return latest.where("NOT x.removed").select("name", "x.path")

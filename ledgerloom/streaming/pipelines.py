@@ -31,6 +31,12 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def running_sli(calls: DataFrame, size: str, late: str = "10 minutes") -> DataFrame:
+    """Per window and tool: calls, failures, mean latency (calls: ts, tool, ok, latency)."""
+    out = calls.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "tool").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(~F.col("ok"), 1)).alias("failed"), F.round(F.avg("latency"), 6).alias("avg_latency"))
+    return out.select(F.col("w.start").alias("start"), "tool", "total", "failed", "avg_latency")
+
+
 def deduplicated(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
