@@ -21,7 +21,7 @@ from ledgerloom.operators import hierarchy
 from ledgerloom.operators import virtual_tables as vt
 from ledgerloom.plans import ast
 from ledgerloom.plans.catalog import KINDS, VIRTUAL, Catalog, TableDef
-from ledgerloom.plans.parser import AGGREGATES, parse
+from ledgerloom.plans.parser import AGGREGATES, Parser, parse
 from ledgerloom.session import checkpointed
 
 SELF = ("ref", "ссылка")
@@ -44,6 +44,7 @@ class Binding:
     shown: dict[str, str]  # internal column -> name in results
     refs: dict[str, str] = field(default_factory=dict)  # internal column -> logical table
     presentation: str | None = None
+    composites: dict[str, list[str]] = field(default_factory=dict)  # lower-case name of a field of several types -> internal columns
 
 
 def walk(node: Any):
@@ -288,11 +289,15 @@ class SelectBuilder:
             df, logical = self.virtual(t, virtual, src.args or [])
         else:
             df, logical = t.df, t.columns
-            if self.s.allowed and t.restriction is not None:
+            if self.s.allowed and isinstance(t.restriction, str):
+                df = self.filtered(t, Parser(re.sub(r"^\s*(?:ГДЕ|WHERE)\s", "", t.restriction, flags=re.I)).expr())
+            elif self.s.allowed and t.restriction is not None:
                 df = df.where(t.restriction)
         df, b = self.bind(alias, df, logical, t.refs, t.key if not virtual else None, t.presentation)
         if not virtual and t.key:
             self.owners.setdefault(t.name, b)
+        internal = {c: i for i, c in b.shown.items()}
+        b.composites = {k: [internal[c] for c in cs if c in internal] for k, cs in t.composites.items()}
         return df, [b]
 
     def join(self, j: ast.Join) -> tuple[DataFrame, list[Binding]]:
@@ -312,6 +317,18 @@ class SelectBuilder:
         self.bindings = held
         return df, lb + rb
 
+    def filtered(self, t: TableDef, cond: Any) -> DataFrame:
+        """Rows of a table that a condition on its fields (and on what they refer to) lets through."""
+        inner = SelectBuilder(self.qb, ast.Select([], []))
+        inner.bindings = [Binding(t.name.lower(), dict(t.columns), {c: c for c in t.df.columns}, dict(t.refs), t.presentation, {k: list(v) for k, v in t.composites.items()})]
+        inner.df = t.df
+        for n in walk(cond):
+            if isinstance(n, ast.Name):
+                inner.resolve(n.parts)
+        for c in conjuncts(cond):
+            inner.apply(c)
+        return inner.df.select(*t.df.columns)
+
     def virtual(self, t: TableDef, name: str, args: list) -> tuple[DataFrame, dict[str, str]]:
         """A virtual table's rows, and the names of its columns."""
         if name.startswith("?"):
@@ -321,14 +338,7 @@ class SelectBuilder:
         unit = lambda a: a.value if isinstance(a, ast.Lit) and isinstance(a.value, str) else None
 
         def rows(cond: Any) -> DataFrame:
-            if cond is None:
-                return t.df
-            inner = SelectBuilder(self.qb, ast.Select([], []))
-            inner.bindings = [Binding(t.name.lower(), dict(t.columns), {c: c for c in t.df.columns})]
-            inner.df = t.df
-            for c in conjuncts(cond):
-                inner.apply(c)
-            return inner.df.select(*t.df.columns)
+            return t.df if cond is None else self.filtered(t, cond)
 
         names = dict(t.columns)
         if name in ("SLICELAST", "SLICEFIRST"):
@@ -386,16 +396,43 @@ class SelectBuilder:
             if b.alias == head and len(parts) > 1:
                 return b, parts[1:]
         for b in self.bindings:
-            if head in b.columns:
+            if head in b.columns or head in b.composites:
                 return b, parts
         return None
 
+    def composite(self, e: Any) -> tuple[Binding, list[str], list[str]] | None:
+        """(binding, internal columns, rest of the path) of a name that begins with a field of several types."""
+        found = self.lookup(e.parts) if isinstance(e, ast.Name) else None
+        if found and found[1][0].lower() in found[0].composites:
+            b, path = found
+            return b, b.composites[path[0].lower()], path[1:]
+        return None
+
+    def of_type(self, b: Binding, columns: list[str], table: list[str]) -> str | None:
+        """The column that holds references to a table."""
+        return next((c for c in columns if self.same_table(b.refs[c], table)), None)
+
+    def same_table(self, name: str, parts: list[str]) -> bool:
+        """Do a table's name and a path in any language mean the same table?"""
+        tables = self.engine.catalog.tables
+        one, other = tables.get(Catalog.normal(name.split("."))), tables.get(Catalog.normal(parts))
+        return one is not None and one is other
+
     def resolve(self, parts: list[str]) -> str | None:
         """Internal column of a (chained) name; None if no source here has it."""
         found = self.lookup(parts)
         if not found:
             return None
         b, path = found
+        if path[0].lower() in b.composites:  # the value, or a field that every type offers, from whichever type it is
+            kinds, rest = b.composites[path[0].lower()], [p for p in path[1:] if p.lower() not in SELF]
+            known = ("composite", repr(path) + b.alias)
+            if known not in self.derefs:
+                values = [F.col(c).cast("string") if not rest else F.col(self.follow(b, c, rest, parts)) for c in kinds]
+                name = f"x{next(self.engine._ids)}"
+                self.df = self.df.withColumn(name, F.coalesce(*values))
+                self.derefs[known] = Binding(name, {}, {})
+            return self.derefs[known].alias
         for i, p in enumerate(path):
             low = p.lower()
             if low in ("presentation", "представление") and low not in b.columns and b.presentation:
@@ -412,6 +449,15 @@ class SelectBuilder:
             b = self.dereference(b, col, parts)
         return None
 
+    def follow(self, b: Binding, col: str, path: list[str], parts: list[str]) -> str:
+        """Internal column at the end of a path that begins behind the reference in ``col``."""
+        for i, p in enumerate(path):
+            b = self.dereference(b, col, parts)
+            col = b.presentation if p.lower() in ("presentation", "представление") else b.columns.get(p.lower())
+            if col is None:
+                raise PlanProblem("FIELD_CHAIN_INVALID", ".".join(parts))
+        return col
+
     def dereference(self, b: Binding, col: str, parts: list[str]) -> Binding:
         """One left join per distinct prefix of a chain of references."""
         if col not in b.refs:
@@ -584,10 +630,14 @@ class SelectBuilder:
                 right = self.members(e)
                 sub = right.where(reduce(lambda a, b: a & b, [self.expr(a).outer() == F.col(c) for a, c in zip(e.args, right.columns)]))
                 return sub.exists()
+            case ast.Refs() if self.composite(e.arg):
+                b, columns, _ = self.composite(e.arg)
+                col = self.of_type(b, columns, e.table)
+                return F.col(col).isNotNull() if col else F.lit(False)
             case ast.Refs():
                 col = self.resolve(e.arg.parts) if isinstance(e.arg, ast.Name) else None
                 owner = next((b.refs.get(col) for b in [*self.bindings, *self.derefs.values()] if col in b.refs), None)
-                same = owner is not None and self.engine.catalog.normal(owner.split(".")) == self.engine.catalog.normal(e.table)
+                same = owner is not None and self.same_table(owner, e.table)
                 return self.expr(e.arg).isNotNull() if same else F.lit(False)
             case ast.Scalar():
                 return QueryBuilder(self.engine, self.params, self.temps, self).query(e.query).scalar()
@@ -648,6 +698,12 @@ class SelectBuilder:
 
     def cast(self, e: ast.Cast) -> Column:
         kind = e.kind.upper()
+        if "." in kind and (several := self.composite(e.arg)):
+            b, columns, _ = several
+            col = self.of_type(b, columns, kind.split("."))
+            if col is None:
+                return F.lit(None)
+            return F.col(self.follow(b, col, e.path, e.arg.parts) if e.path else col)
         if "." in kind or KINDS.get(kind.split(".")[0]):
             if isinstance(e.arg, ast.Name) and e.path:
                 return self.expr(ast.Name([*e.arg.parts, *e.path]))
@@ -698,6 +754,9 @@ class SelectBuilder:
             return self.expr(arg).cast("string")
         if f == "TYPE":
             return F.lit(Catalog.normal(e.args[0].value.split(".")))
+        if f == "VALUETYPE" and (several := self.composite(e.args[0])):
+            b, columns, _ = several
+            return F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(Catalog.normal(b.refs[c].split(".")))) for c in columns))
         if f == "VALUETYPE":
             arg = e.args[0]
             col = self.resolve(arg.parts) if isinstance(arg, ast.Name) else None
@@ -750,7 +809,10 @@ class SelectBuilder:
                 if isinstance(n, ast.Nested):
                     self.nested(n)
                 if isinstance(n, ast.Cast) and n.path and isinstance(n.arg, ast.Name):
-                    self.resolve([*n.arg.parts, *n.path])
+                    if self.composite(n.arg):
+                        self.cast(n)
+                    else:
+                        self.resolve([*n.arg.parts, *n.path])
                 if isinstance(n, ast.Call) and n.func in ("PRESENTATION", "REFPRESENTATION"):
                     self.call(n)
         if s.where is not None:

@@ -56,7 +56,8 @@ class TableDef:
     debit: str | None = None
     credit: str | None = None
     ties: list[str] = field(default_factory=list)
-    restriction: Column | None = None  # row-level access filter, used by ALLOWED
+    restriction: Column | str | None = None  # row-level access filter, used by ALLOWED: a column, or a condition in the language
+    composites: dict[str, list[str]] = field(default_factory=dict)  # field of several types -> its physical columns, one per type
     numeric: set[str] = field(default_factory=set)
     action: tuple[str, str, str] | None = None  # begin and end of what a record is in force for, and its rank
     schedule: tuple[DataFrame, list[str], str, str] | None = None  # schedule, keys, day, value
@@ -145,6 +146,13 @@ def sample_catalog(spark: SparkSession, d: str) -> Catalog:
         TableDef("InformationRegister.UserEvents", t["events"], _columns(t["events"], {"ts": "Period Период", "user_id": "User Пользователь", "event_type": "EventType ВидСобытия", "value": "Value Значение"}), dims=["user_id", "event_type"], resources=["value"], period="ts", ties=["event_id"]),
         "InformationRegister.События",
     )
+    owners = t["customer"].select(F.col("c_name").alias("contact"), F.col("c_custkey").alias("owner_customer"), F.lit(None).cast("bigint").alias("owner_supplier")).unionByName(
+        t["supplier"].select(F.col("s_name").alias("contact"), F.lit(None).cast("bigint").alias("owner_customer"), F.col("s_suppkey").alias("owner_supplier"))
+    )
+    c.add(
+        TableDef("InformationRegister.Contacts", owners, _columns(owners, {"contact": "Контакт"}), refs={"owner_customer": "Catalog.Customers", "owner_supplier": "Catalog.Suppliers"}, composites={"owner": ["owner_customer", "owner_supplier"], "владелец": ["owner_customer", "owner_supplier"]}, restriction="ГДЕ Владелец.Сальдо > &Порог"),
+        "InformationRegister.Контакты",
+    )
     # the orders as records of a calculation register: each is in force for as many days as its priority says
     rank = F.substring("o_orderpriority", 1, 1).cast("int")
     charges = t["orders"].select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("begin"), F.timestamp_add("DAY", rank * 30, F.col("o_orderdate")).alias("end"), "o_orderkey", rank.alias("rank")).toDF("charge", "employee", "begin", "end", "number", "rank")

@@ -172,6 +172,11 @@ q("vt_schedule_data", "SELECT C.charge AS charge, C.ScheduleValue AS hours FROM
   "WITH d AS (SELECT o_custkey AS e, date_trunc('day', o_orderdate)::TIMESTAMP AS day, count(*) * 8.0::DOUBLE AS h FROM orders GROUP BY 1, 2), r AS (SELECT o_orderkey AS charge, o_custkey AS e, o_orderdate AS b, o_orderdate + INTERVAL 30 DAY * substr(o_orderpriority,1,1)::INTEGER AS t FROM orders) SELECT charge, coalesce(sum(h), 0) AS hours FROM r LEFT JOIN d ON d.e = r.e AND d.day >= r.b AND d.day <= r.t GROUP BY charge")
 q("vt_task_by_performer", "SELECT T.Ref AS task, T.Performer AS who FROM Task.Errands.TaskByPerformer() AS T",
   "WITH a AS (SELECT CASE WHEN n_nationkey < 20 THEN n_nationkey END AS office, 'user'||n_regionkey AS person FROM nation) SELECT DISTINCT s_suppkey AS task, person AS who FROM supplier JOIN a ON a.office IS NULL OR a.office = s_nationkey")
+q("rel_composite_dereference", "SELECT C.Contact AS contact, C.Owner.Description AS name, C.Owner.Nation.Description AS nation, VALUETYPE(C.Owner) AS kind FROM InformationRegister.Contacts AS C",
+  "SELECT c_name AS contact, c_name AS name, n_name AS nation, 'CATALOG.CUSTOMERS' AS kind FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT s_name, s_name, n_name, 'CATALOG.SUPPLIERS' FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+q("rel_composite_cast", "SELECT C.Contact AS contact, CAST(C.Owner AS Catalog.Customers).Segment AS segment FROM InformationRegister.Contacts AS C", "SELECT c_name AS contact, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, NULL FROM supplier")
+q("rel_composite_refs", "ВЫБРАТЬ К.Контакт КАК contact ИЗ РегистрСведений.Контакты КАК К ГДЕ К.Владелец ССЫЛКА Справочник.Поставщики", "SELECT s_name AS contact FROM supplier")
+q("rel_allowed_by_text", "SELECT ALLOWED C.Contact AS contact FROM InformationRegister.Contacts AS C", "SELECT c_name AS contact FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT s_name FROM supplier WHERE s_acctbal > 5000", Порог=5000)
 q("flagship_sales_by_period",
   "ВЫБРАТЬ\n\tНАЧАЛОПЕРИОДА(П.Период, МЕСЯЦ) КАК month,\n\tП.Товар.Марка КАК brand,\n\tОКР(СУММА(П.Количество), 2) КАК qty,\n\tОКР(СУММА(П.Сумма), 2) КАК amount\nИЗ РегистрНакопления.Продажи КАК П\nГДЕ П.Период МЕЖДУ &Начало И &Конец\nСГРУППИРОВАТЬ ПО НАЧАЛОПЕРИОДА(П.Период, МЕСЯЦ), П.Товар.Марка\nУПОРЯДОЧИТЬ ПО amount УБЫВ, month, brand // выручка",
   "SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS month, p_brand AS brand, round(sum(l_quantity),2) AS qty, round(sum(l_extendedprice),2) AS amount FROM lineitem LEFT JOIN part ON l_partkey=p_partkey WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1,2", Начало=D(1995, 1, 1), Конец=D(1996, 12, 31))

@@ -186,6 +186,20 @@ def test_record_numbers_follow_the_order(spark):
     assert {r.k: r.n for r in Engine(spark, c).run("SELECT A.k AS k, RECORDAUTONUMBER() AS n FROM Catalog.A AS A").collect()} == {i: i for i in range(5000)}
 
 
+def test_composite_fields_and_restriction_texts(engine, data):
+    """A field of several types: whole, by type, behind CAST, and in a row-level restriction given as text."""
+    n = engine.run("SELECT COUNT(*) AS n FROM InformationRegister.Contacts AS C").first().n
+    by = {r.kind: r.n for r in engine.run("SELECT VALUETYPE(C.Owner) AS kind, COUNT(*) AS n FROM InformationRegister.Contacts AS C GROUP BY VALUETYPE(C.Owner)").collect()}
+    assert sum(by.values()) == n and set(by) == {"CATALOG.CUSTOMERS", "CATALOG.SUPPLIERS"}
+    assert engine.run("SELECT C.Contact AS c FROM InformationRegister.Contacts AS C WHERE C.Owner REFS Catalog.Customers").count() == by["CATALOG.CUSTOMERS"]
+    assert engine.run("SELECT C.Contact AS c FROM InformationRegister.Contacts AS C WHERE C.Owner REFS Catalog.Regions").count() == 0
+    assert engine.run("SELECT C.Contact AS c FROM InformationRegister.Contacts AS C WHERE C.Owner.Description = C.Contact").count() == n
+    rich = engine.run("SELECT ALLOWED C.Contact AS c FROM InformationRegister.Contacts AS C", {"Порог": 0})
+    assert 0 < rich.count() < n
+    with pytest.raises(PlanProblem):
+        engine.run("SELECT C.Owner.Segment AS s FROM InformationRegister.Contacts AS C")  # suppliers have no segment
+
+
 def test_long_parent_chain(spark):
     n = 100
     df = spark.range(n).selectExpr("id AS k", "IF(id > 0, id - 1, NULL) AS p")
