@@ -175,12 +175,23 @@ def _lists(spark, d):
     return rounded(["права", "пользователей"]), rounded(["курсы", "валют"])
 
 
-@query()
+def _list_sql(terms):
+    from ledgerloom import queries_ops
+
+    return queries_ops._BM25.replace(queries_ops._IN, ", ".join(f"'{t}'" for t in terms)) + " SELECT doc_id, round(score, 6) AS score FROM s"
+
+
+_FUSED = """WITH a AS (SELECT * FROM ({a}) ORDER BY score DESC, doc_id LIMIT 20), b AS (SELECT * FROM ({b}) ORDER BY score DESC, doc_id LIMIT 20),
+ an AS (SELECT doc_id, CASE WHEN hi = lo THEN score ELSE (score - lo) / (hi - lo) END AS s FROM a, (SELECT min(score) AS lo, max(score) AS hi FROM a)), bn AS (SELECT doc_id, CASE WHEN hi = lo THEN score ELSE (score - lo) / (hi - lo) END AS s FROM b, (SELECT min(score) AS lo, max(score) AS hi FROM b))
+ SELECT doc_id, round(0.5 * coalesce(an.s, 0) + 0.5 * coalesce(bn.s, 0), 6) AS score, CASE WHEN an.s > 0 AND bn.s > 0 THEN 'both' WHEN an.s > 0 THEN 'bm25' WHEN bn.s > 0 THEN 'vector' ELSE 'none' END AS source FROM an FULL JOIN bn USING (doc_id) ORDER BY 0.5 * coalesce(an.s, 0) + 0.5 * coalesce(bn.s, 0) DESC, doc_id LIMIT 10"""
+
+
+@query(_FUSED.format(a=_list_sql(["права", "пользователей"]), b=_list_sql(["курсы", "валют"])))
 def search_hybrid(spark, d):
     return search.hybrid(*_lists(spark, d), "doc_id", 10).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"SELECT doc_id, score, 'bm25' AS source FROM ({_list_sql(['права', 'пользователей'])}) ORDER BY score DESC, doc_id LIMIT 10")
 def search_hybrid_auto(spark, d):
     return search.hybrid_auto(_lists(spark, d)[0], None, "doc_id", 10)
 

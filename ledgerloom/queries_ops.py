@@ -88,7 +88,8 @@ def search_bm25_stemmed(spark, d):
     return search.top(search.bm25(stemmed, "id", F.col("w"), tx.stems("ПроверитьОстаткиПоСкладу")), "score", "id", 20)
 
 
-@query()
+@query("""WITH g AS (SELECT id, {g} AS g FROM methods WHERE name_ru IS NOT NULL), q AS (SELECT {q} AS q), s AS (SELECT id, len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE AS score FROM g, q WHERE list_has_any(g, q))
+ SELECT id, score FROM s ORDER BY score DESC, id LIMIT 20""".format(**{k: f"list_distinct(flatten(list_transform(regexp_extract_all(lower({c}), '[а-яёa-z]{{3,}}'), lambda w: list_transform(generate_series(1, length(w) + 2), lambda i: substr('$$' || w || '$$', i, 3)))))" for k, c in (("g", "name_ru"), ("q", "'ПолучитОстатокНаДату'"))}))
 def search_trigram_fuzzy(spark, d):
     m = table(spark, d, "methods").select("id", "name_ru").where("name_ru IS NOT NULL")
     return search.top(search.trigram_jaccard(m, "id", F.col("name_ru"), "ПолучитОстатокНаДату"), "score", "id", 20)
@@ -101,7 +102,8 @@ def search_blend(spark, d):
     return search.top(search.blend(text, search.trigram_jaccard(m, "id", F.col("name_ru"), "остатки складам"), "id"), "score", "id", 20)
 
 
-@query()
+@query("""WITH m AS (SELECT id, name_ru, lower(coalesce(name_ru, '')) AS r, lower(coalesce(name_en, '')) AS e, lower(concat_ws(' ', name_ru, name_en, description)) AS body FROM methods), s AS (SELECT id, name_ru, CASE WHEN r = 'получитьостатокнадату' OR e = 'получитьостатокнадату' THEN 10.0 WHEN contains(' ' || body, ' получитьостатокнадату') THEN 2.0 WHEN contains(body, 'получитьостатокнадату') THEN 1.0 END::DOUBLE AS score FROM m)
+ SELECT id, name_ru, score FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name_ru ORDER BY score DESC, id) = 1 ORDER BY score DESC, id LIMIT 20""")
 def search_catalogue(spark, d):
     m = table(spark, d, "methods").select("id", "name_ru", "name_en", "description")
     return search.catalogue_search(m, "ПолучитьОстатокНаДату", 20)
@@ -296,7 +298,8 @@ def rule_violation_stats(spark, d):
     return table(spark, d, "context_violations").groupBy("rule_id", F.upper("severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH p AS (SELECT module_path, CASE lower(severity) WHEN 'error' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END AS r, rule_id, count(*) AS n FROM context_violations GROUP BY ALL)
+ SELECT module_path, sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE r <= 2), 0)::BIGINT AS must_fix, CASE WHEN min(r) <= 2 THEN 'errors' ELSE 'warnings' END AS verdict, list_slice(list(rule_id ORDER BY r, rule_id NULLS FIRST), 1, 3) AS top3 FROM p GROUP BY 1""")
 def rule_verdict_top3(spark, d):
     v = table(spark, d, "context_violations").withColumn("sev", F.when(F.lower("severity") == "error", "HIGH").when(F.lower("severity") == "warning", "MEDIUM").otherwise("LOW"))
     return metrics.verdict(v, "module_path", "sev", "rule_id")
@@ -352,7 +355,7 @@ def ops_version_compare(spark, d):
     return v.where(tx.version_parts(F.col("version")) >= tx.version_parts(F.lit("8.3.12"))).select("version")
 
 
-@query()
+@query("SELECT doc_id, coalesce(b.n, 'unknown') AS intent, round(coalesce(b.c, 0), 4) AS confidence FROM (SELECT doc_id, list_sort(list_filter([" + ", ".join("{{'c': CASE WHEN {k} > 0 THEN least(1.0::DOUBLE, {c}::DOUBLE + 0.05::DOUBLE * ({k} - 1)) END, 'n': '{n}'}}".format(n=n, c=c, k="len(regexp_extract_all(text, '" + p.replace("(?iu)", "(?i)") + "'))") for n, c, p in rules.INTENTS) + "], lambda x: x.c IS NOT NULL), 'DESC')[1] AS b FROM documents WHERE text IS NOT NULL)")
 def ops_intent(spark, d):
     return rules.classify_intent(table(spark, d, "documents"), "doc_id", "text")
 
@@ -362,7 +365,7 @@ def ops_json_props(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query()
+@query(r"""SELECT id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(description, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[\s\x{a0}]+', ' ', 'g')) AS text FROM methods""")
 def ops_html_strip(spark, d):
     return table(spark, d, "methods").select("id", strip_html(F.col("description")).alias("text"))
 
