@@ -42,14 +42,10 @@ def deduplicated(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame
 
 
 def rate_limited(events: DataFrame, key: str, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """key, ts, accepted: the sliding-window limit per key; the state holds at most ``limit`` times per key, and is dropped
-    when a key has been silent for longer than the window on the clock.  Calls are taken in the order of their times within
-    a micro-batch, and batch after batch in the order they arrive."""
+    """key, ts, accepted: the sliding-window limit per key; the state holds at most ``limit`` times per key, and stays.
+    Calls are taken in the order of their times within a micro-batch, and batch after batch in the order they arrive."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         window = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches)).sort_values("ts")
         flags = []
@@ -61,10 +57,9 @@ def rate_limited(events: DataFrame, key: str, limit: int = 100, seconds: int = 6
                 window.append(at)
             flags.append(ok)
         state.update((window,))
-        state.setTimeoutDuration(max(1000, seconds * 1000))
         yield pd.DataFrame({"key": [str(k[0])] * len(pdf), "ts": pdf["ts"], "accepted": flags})
 
-    return events.groupBy(key).applyInPandasWithState(run, "key string, ts timestamp, accepted boolean", "window array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(run, "key string, ts timestamp, accepted boolean", "window array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def new_against_baseline(stream: DataFrame, baseline: DataFrame, key: str, target: str, checkpoint: str):
