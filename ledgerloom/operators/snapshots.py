@@ -7,8 +7,9 @@ version, an order-free digest of its (key, content) pairs, and only these digest
 in two consecutive snapshots are discarded; the rows of the others, reduced to key, version and content digest, are brought
 together by key and classified against their neighbour version.
 
-If a snapshot holds a key more than once the latest delivery counts (the larger id on a tie).  Bit masks of the keys' hashes
-tell where that may be so: such chunks never count as matching, and only there the deliveries are compared.  Rows without
+If a snapshot holds a key more than once the latest delivery counts (the larger id on a tie).  Which keys are repeated is
+found by counting their hashes alone, eight bytes a row: their chunks never count as matching, and only there a row brings
+the order of its delivery along.  Rows without
 key or version number belong to no snapshot.  Fewer than two snapshots give no rows.
 """
 
@@ -59,32 +60,27 @@ def _chunk_of(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def _bit(shift: int) -> str:
-    return f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(h, {shift}) & 63 AS INT)))"
-
-
 def chunk_digests(narrow: DataFrame, bits: int) -> DataFrame:
-    """c, v, n, x, y, repeats: per chunk and version the number of rows, two order-free digests, and whether a key may be
-    there twice (always told if one is)."""
+    """c, v, n, x, y: per chunk and version the number of rows and two order-free digests."""
     parts = narrow.select(_chunk_of(F.col("k"), bits).alias("c"), "v", F.xxhash64("k").alias("h"), "d")
-    sums = parts.groupBy("c", "v").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h", "d")).alias("x"), F.bit_xor(F.xxhash64("d", "h")).alias("y"), F.expr(_bit(0)).alias("a"), F.expr(_bit(6)).alias("b")
-    )
-    return sums.select("c", "v", "n", "x", "y", ((F.bit_count("a") < F.col("n")) & (F.bit_count("b") < F.col("n"))).alias("repeats"))
+    return parts.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h", "d")).alias("x"), F.bit_xor(F.xxhash64("d", "h")).alias("y"))
 
 
-def unmatched_chunks(digests: DataFrame, n_pairs: int) -> DataFrame:
-    """c, pairs, repeats: the chunks to look into, the numbers of the version pairs they differ in, and the versions in
-    which a key may be there twice."""
-    side = digests.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("v", F.struct("n", "x", "y", "repeats")))).alias("by"))
+def repeating_chunks(narrow: DataFrame, bits: int) -> DataFrame:
+    """c, repeats: the versions in which a chunk holds a key more than once."""
+    again = narrow.groupBy("v", F.xxhash64("k").alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    chunk = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
+    return again.select(chunk.alias("c"), "v").distinct().groupBy("c").agg(F.collect_list("v").alias("repeats"))
 
-    def differs(i: Column) -> Column:
-        a, b = F.try_element_at("by", i), F.try_element_at("by", i + 1)
-        return ~a.eqNullSafe(b) | F.coalesce(a["repeats"], F.lit(False)) | F.coalesce(b["repeats"], F.lit(False))
 
+def unmatched_chunks(digests: DataFrame, repeating: DataFrame, n_pairs: int) -> DataFrame:
+    """c, pairs, repeats: the chunks to look into, the numbers of the version pairs they differ in, and the versions in
+    which a key may be there twice."""
+    side = digests.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("v", F.struct("n", "x", "y")))).alias("by")).join(repeating, "c", "left")
+    twice = lambda i: F.coalesce(F.array_contains("repeats", i), F.lit(False))
+    differs = lambda i: ~F.try_element_at("by", i).eqNullSafe(F.try_element_at("by", i + 1)) | twice(i) | twice(i + 1)
     pairs = F.filter(F.sequence(F.lit(0), F.lit(n_pairs - 1)), differs)
-    twice = F.transform(F.filter(F.map_entries("by"), lambda e: e["value"]["repeats"]), lambda e: e["key"])
-    return side.select("c", pairs.alias("pairs"), twice.alias("repeats")).where(F.size("pairs") > 0)
+    return side.select("c", pairs.alias("pairs"), F.coalesce("repeats", F.array().cast("array<int>")).alias("repeats")).where(F.size("pairs") > 0)
 
 
 def snapshot_changes(
@@ -94,9 +90,13 @@ def snapshot_changes(
     order: Sequence[str],
     texts: Sequence[str],
     jsons: Sequence[str] = (),
-    chunk_rows: int = 8,
+    chunk_rows: int = 64,
 ) -> DataFrame:
-    """version_from, version_to, key, change ('added', 'removed', 'changed') for each pair of consecutive versions."""
+    """version_from, version_to, key, change ("added", "removed", "changed") for each pair of consecutive versions.
+
+    A chunk holds ``chunk_rows`` keys on average: many more than a snapshot has tasks, so that digests are summed where rows
+    lie, and few enough that a changed record brings few others along.
+    """
     sizes = snapshot_sizes(df, version)
     if len(sizes) < 2:
         return df.limit(0).select(F.lit("").alias("version_from"), F.lit("").alias("version_to"), F.col(key), F.lit("").alias("change"))
@@ -113,11 +113,13 @@ def snapshot_changes(
         )
         .where("v IS NOT NULL")
     )
-    need = F.broadcast(unmatched_chunks(chunk_digests(narrow, bits), len(names) - 1))  # at most MOST_DIGESTS entries
+    found = stored(unmatched_chunks(chunk_digests(narrow, bits), repeating_chunks(narrow, bits), len(names) - 1))
+    need = F.broadcast(found)  # at most MOST_DIGESTS entries
     moved = narrow.withColumn("c", _chunk_of(F.col("k"), bits)).join(need, "c").where(F.array_contains("pairs", F.col("v")) | F.array_contains("pairs", F.col("v") - 1))
-    twice = F.array_contains("repeats", F.col("v"))
-    rows = moved.where(~twice).select("k", "v", "d").unionByName(moved.where(twice).groupBy("k", "v").agg(F.max_by("d", "o").alias("d")))
-    w = Window.partitionBy("k").orderBy("v")
+    order_of = F.when(F.array_contains("repeats", F.col("v")), F.col("o"))
+    w = Window.partitionBy("k").orderBy("v", "o")
+    # of a key's deliveries in one version, side by side in the order of their delivery, the last one stays
+    rows = moved.select("k", "v", "d", order_of.alias("o")).withColumn("later", F.lead("v").over(w)).where(~F.col("later").eqNullSafe(F.col("v")))
     near = rows.withColumns({"before": F.lag(F.struct("v", "d")).over(w), "after": F.lead("v").over(w)})
     there = F.col("before.v").eqNullSafe(F.col("v") - 1)
     # a pair is judged at its later version, but for what was removed
