@@ -46,7 +46,7 @@ LATIN = {
     "bg": "а=a б=b в=v г=g д=d е=e ж=zh з=z и=i й=y к=k л=l м=m н=n о=o п=p р=r с=s т=t у=u ф=f х=h ц=ts ч=ch ш=sh щ=sht ъ=a ь=y ю=yu я=ya",
 }
 IDENTIFIER = re.compile(r"\b\w*(?:\d|_|[^\W\d_](?<=[a-zа-яёіїєґ])[A-ZА-ЯЁІЇЄҐ])\w*\b")
-INSIDE = re.compile(r"\d|_|[a-zа-яёіїєґ][A-ZА-ЯЁІЇЄҐ]")  # what makes a word an identifier
+DIGIT = re.compile(r"[\d_]")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -60,9 +60,10 @@ def named_languages(label: Column) -> Column:
 
 def prose(sentence: str) -> str:
     """Lower-case words of a sentence without identifiers, padded for n-grams at word borders."""
-    if INSIDE.search(sentence):
-        sentence = IDENTIFIER.sub(" ", sentence)
-    return " " + " ".join(LETTERS.findall(sentence.lower())) + " "
+    low = sentence.lower()
+    if low[1:] != sentence[1:] or DIGIT.search(sentence):  # else no word can be an identifier
+        low = IDENTIFIER.sub(" ", sentence).lower()
+    return " " + " ".join(LETTERS.findall(low)) + " "
 
 
 def latin(text: str, language: str, variant: int) -> str:
@@ -145,7 +146,11 @@ def _ftrl(texts: list[str], labels: np.ndarray, importance: np.ndarray, idf: np.
             ids = np.concatenate([x for i in rows for x in (feature[bounds[i] : bounds[i + 1]], [d])])
             x = np.concatenate([v for i in rows for v in (value[bounds[i] : bounds[i + 1]], np.ones(1, dtype=np.float32))])
             sizes = bounds[rows + 1] - bounds[rows] + 1
-            used, place = np.unique(ids, return_inverse=True)
+            by = np.argsort(ids, kind="stable")  # one sort serves the look-up of weights and the sums of gradients
+            first = np.r_[True, ids[by][1:] != ids[by][:-1]]
+            used, starts = ids[by][first], np.flatnonzero(first)
+            place = np.empty(len(ids), dtype=np.int64)
+            place[by] = np.cumsum(first) - 1
             zi, ni = z[used], n[used]
             w = active(zi, ni)
             s = np.add.reduceat(x[:, None] * w[place], np.r_[0, np.cumsum(sizes)[:-1]])
@@ -153,9 +158,7 @@ def _ftrl(texts: list[str], labels: np.ndarray, importance: np.ndarray, idf: np.
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), labels[rows]] -= 1
             p *= importance[rows, None]
-            by = np.argsort(place, kind="stable")
-            pushed = x[by, None] * np.repeat(p, sizes, axis=0)[by].astype(np.float32)
-            g = np.add.reduceat(pushed, np.searchsorted(place[by], np.arange(len(used))))
+            g = np.add.reduceat(x[by, None] * np.repeat(p, sizes, axis=0)[by].astype(np.float32), starts)
             z[used] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
             n[used] = ni + g * g
     w = active(z, n)
